@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canon, langid, markup, neardup, spans
-from lexloom.session import table
+from lexloom.llm import canon, chunks, langid, markup, mixing, neardup, packing, spans, tokens
+from lexloom.session import cut, table
 
 
 def param(spark: SparkSession, d: str, name: str) -> float:
@@ -52,6 +52,48 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(table(spark, d, "ley_completa").select("id", "texto"), "texto").select("id", "texto_limpio", F.array_join("marcas", ",").alias("marcas"))
 
 
+def _pieces(spark: SparkSession, d: str, long_only: bool) -> DataFrame:
+    most, again = int(param(spark, d, "split_max_chars")), int(param(spark, d, "split_overlap_chars"))
+    return chunks.split_texts(table(spark, d, "ley_completa"), "id", "texto", most, again, long_only)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, True).where("piece = 1").select(F.col("key").alias("id")).distinct()
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every law."""
+    return _pieces(spark, d, False).withColumnRenamed("key", "id")
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of all documents in tokens, counted once."""
+    return cut(table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens")))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of each container."""
+    return packing.pack(_sized(spark, d), "doc_id", "tokens", int(param(spark, d, "pack_capacity_tokens")))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p7_packed(spark, d), int(param(spark, d, "pack_capacity_tokens")))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_sized(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_targets"), param(spark, d, "mix_total_share"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen texts with their copies."""
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of each source."""
+    return _mix(spark, d)[1]
+
+
 def _segmented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, langid.Model]:
     documents, laws = table(spark, d, "documents"), table(spark, d, "ley_completa")
     return documents, laws, langid.fit(documents, "text", "lang")
@@ -89,5 +131,9 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_part(table(spark, d, "documents"), "doc_id", "text", int(param(spark, d, "span_min_chars"))).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p6_found, p6_segments, p9_found, p9_shared)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_pieces, p7_packed, p7_report, p8_mix, p8_shares, p6_found, p6_segments, p9_found, p9_shared)}
+ORACLES: dict[str, str] = {
+    "p5_found": """
+SELECT DISTINCT id FROM ley_completa
+WHERE length(texto) > (SELECT param_value FROM job_params WHERE param_name = 'split_max_chars')""",
+}
