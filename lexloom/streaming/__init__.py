@@ -1 +1 @@
-
+"""Continuous ingest of a growing corpus."""
