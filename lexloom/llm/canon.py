@@ -57,9 +57,12 @@ def _singles() -> dict[str, str]:
                 out[c] = shown
         elif (composed := unicodedata.normalize("NFC", c)) != c:
             out[c] = composed
-    for letters in (CYRILLIC, GREEK, LATIN):
-        out |= letters
-    return out
+    letters = CYRILLIC | GREEK | LATIN
+    for code in range(0x370, 0x2000):  # letters with accents, whose base is drawn alike
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0] in letters:
+            out[chr(code)] = unicodedata.normalize("NFC", letters[parts[0]] + parts[1:])
+    return out | letters
 
 
 def check_conflicts(letters: dict[str, str], name: str) -> None:
