@@ -243,7 +243,7 @@ def segment_texts(texts: list[str | None], model: Model) -> list[list[tuple[int,
     return out
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, rate: float = 0.6, batch: int = 64) -> Model:
+def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, rate: float = 0.1, batch: int = 64) -> Model:
     """Fits the model on texts with (possibly wrong) labels; a fifth of the sentences is held out.
 
     After the first half of the epochs, training sentences whose label the model contradicts
@@ -269,7 +269,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
     examples = [np.concatenate([grams[begins[i] : ends[i]] for i in map(vocabulary.__getitem__, s)]) for s in sentences]
     held = np.arange(len(y)) % 5 == 0
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    weight, bias = np.zeros((DIM, len(LANGS)), np.float32), np.zeros(len(LANGS), np.float32)
+    weight, bias = rng.normal(0, 0.1, (DIM, len(LANGS))).astype(np.float32), np.zeros(len(LANGS), np.float32)
 
     def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(examples[i]) for i in ids])
@@ -283,6 +283,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
         return np.concatenate(out)
 
     train_ids = np.flatnonzero(~held)
+    acc_emb, acc_weight, acc_bias = np.zeros(BUCKETS, np.float32), 0.0, 0.0
     steps = 0
     for epoch in range(epochs):
         ids = rng.permutation(train_ids)
@@ -295,13 +296,18 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), y[part]] -= 1
             lr = rate * max(0.1, 1 - steps / (epochs * len(ids) / batch))
-            grad = (p @ weight.T).astype(np.float32)
-            weight -= lr * vec.T @ p
-            bias -= lr * p.mean(axis=0)
-            step = np.repeat(grad * (lr / sizes[:, None] * batch / 4), sizes, axis=0).astype(np.float32)
+            # Adaptive steps (squared gradients summed per row) stay stable on few and on many examples.
+            d_weight, d_bias = vec.T @ p / len(part), p.mean(axis=0)
+            step = np.repeat((p @ weight.T / sizes[:, None]).astype(np.float32), sizes, axis=0)
             order = np.argsort(g, kind="stable")
             uniq, cut = np.unique(g[order], return_index=True)
-            emb[uniq] -= np.add.reduceat(step[order], cut, axis=0)
+            d_emb = np.add.reduceat(step[order], cut, axis=0)
+            acc_emb[uniq] += (d_emb**2).mean(axis=1)
+            acc_weight += (d_weight**2).mean()
+            acc_bias += (d_bias**2).mean()
+            emb[uniq] -= lr * d_emb / np.sqrt(acc_emb[uniq] + 1e-12)[:, None]
+            weight -= (lr * d_weight / np.sqrt(acc_weight + 1e-12)).astype(np.float32)
+            bias -= (lr * d_bias / np.sqrt(acc_bias + 1e-12)).astype(np.float32)
             steps += 1
         if epoch == epochs // 2 - 1:
             train_ids = train_ids[logits_of(train_ids).argmax(axis=1) == y[train_ids]]
