@@ -4,8 +4,8 @@ Two sets of tokens with a similarity (shared / all) of ``threshold`` or more sha
 the first ``n - ceil(threshold * n) + 1`` tokens of each, under *every* global order of tokens. Here:
 
 * order 1, rarest first (frequency from a fixed-size table of counts over all records, ties by
-  hash), generates candidates: records meet at the tokens of their prefix; size and position
-  filters act in that join;
+  hash), generates candidates: records meet at the tokens of their prefix, in buckets of tokens whose
+  number follows the size of the index; size, position and parity filters act on each meeting pair;
 * orders 2 and 3 (two hash orders) must also find a shared prefix token: their filters are
   intersected with the first before verification;
 * verification counts the shared tokens of the whole sets.
@@ -40,8 +40,10 @@ from lexloom.llm.rolling import codes, mix
 from lexloom.session import cut
 
 COUNT_BITS = 18  # the table of counts: 2^18 counters, 1 MB
+SKETCH_BITS = {"chars": 256, "words": 512}
 SHORT = 40  # strings with so few runs of four meet at those as well
-BROADCAST_ROWS = 400_000  # candidate records are broadcast up to this many (8 bytes each)
+BUCKETS_LEAST, BUCKET_TOKENS = 8, 2_000_000  # buckets of the index: their number follows the number of tokens
+BROADCAST_ROWS = 400_000  # candidates are broadcast up to this many pairs (16 bytes each)
 _MUL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _words = re.compile(r"\w+").findall
 
@@ -95,56 +97,63 @@ def token_sets(forms: list[str], kind: str) -> tuple[list[np.ndarray], list[np.n
 token_sets.memo = _WordHash()
 
 
-def _tokenise(kind: str):
+def doc_number(form: str) -> int:
+    """A 64-bit number that stands for a form."""
+    return int.from_bytes(hashlib.md5(form.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+    """Ids and lower-cased forms, 2,000 records at a time."""
+    apply = transducer().apply
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            yield batch.column(0).to_pylist(), [apply(t).lower() for t in batch.column(1).to_pylist()]
+
+
+_FIRST = ["id", "doc", "tokens", "keys", "block", "counts"]
+
+
+def _first_pass(kind: str):
+    """Rows (id, doc, tokens, keys) for the records, and per task the counts of its tokens in blocks of 4,096 buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = transducer().apply
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                ids, forms = batch.column(0), [apply(t).lower() for t in batch.column(1).to_pylist()]
-                docs = [int.from_bytes(hashlib.md5(f.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True) for f in forms]
-                sets, keys = token_sets(forms, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(docs, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([None if k is s else k.tobytes() for k, s in zip(keys, sets)], pa.binary())],
-                    names=["id", "doc", "tokens", "keys"],
-                )
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for ids, forms in _forms(batches):
+            sets, keys = token_sets(forms, kind)
+            for part in (keys,) if kind == "words" else (sets, keys):
+                total += np.bincount(np.concatenate(part) >> np.uint32(32 - COUNT_BITS), minlength=1 << COUNT_BITS)
+            n = len(ids)
+            stored = pa.nulls(n, pa.binary()) if kind == "words" else pa.array([k.tobytes() for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([doc_number(f) for f in forms], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), stored, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_FIRST)
+        blocks = np.unique(np.flatnonzero(total) >> 12)
+        small = np.minimum(total, 2**31 - 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(blocks), t) for t in (pa.string(), pa.int64(), pa.binary(), pa.binary())] + [pa.array(blocks, pa.int32()), pa.array([small[b << 12 : (b + 1) << 12].tobytes() for b in blocks], pa.binary())],
+            names=_FIRST,
+        )
 
     return run
 
 
-def tokenised(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
-    """(id, doc, tokens, keys) of every row, written once; ``doc`` stands for the lower-cased form."""
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"))
-    return cut(rows.mapInArrow(_tokenise(kind), "id string, doc bigint, tokens binary, keys binary"))
+def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"))
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNT_BITS, np.int64)
-    for batch in batches:
-        for k in range(2):  # a null of ``keys`` means that the tokens serve as keys
-            own = [np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist() if x]
-            if own:
-                total += np.bincount(np.concatenate(own) >> np.uint32(32 - COUNT_BITS), minlength=1 << COUNT_BITS)
-    met = np.flatnonzero(total)
-    blocks = met >> 12
-    for block in np.unique(blocks):  # 64 rows of at most 4,096 counters
-        yield pa.RecordBatch.from_arrays([pa.array([int(block)], pa.int32()), pa.array([total[block << 12 : (block + 1) << 12].tobytes()], pa.binary())], names=["block", "counts"])
-
-
-def token_counts(tokens: DataFrame) -> np.ndarray:
-    """How often the tokens of each of the 2^COUNT_BITS buckets occur over all records (a fixed 1 MB)."""
-    blocks = tokens.select("tokens", "keys").mapInArrow(_count_buckets, "block int, counts binary")
+def first_pass(rows: DataFrame, kind: str) -> tuple[DataFrame, np.ndarray]:
+    """(sets, counts): (id, doc, tokens, keys) of every record, written once, and how often the tokens of each bucket occur over all records."""
+    done = cut(rows.mapInArrow(_first_pass(kind), "id string, doc bigint, tokens binary, keys binary, block int, counts binary"))
     total = np.zeros(1 << COUNT_BITS, np.int64)
-    summed = blocks.groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary")
-    for row in summed.collect():
+    summed = done.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary")
+    for row in summed.collect():  # 64 rows, 2 MB at most, whatever the input
         total[row.block << 12 : (row.block + 1) << 12] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(total, 2**31 - 1).astype(np.int32)
+    return done.where("block is null").select("id", "doc", "tokens", "keys"), np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(1 << 12, np.int64)
     for counts in table.column("counts").to_pylist():
-        total += np.frombuffer(counts, np.int64)
+        total += np.frombuffer(counts, np.int32)
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -164,33 +173,140 @@ def key_similarity(kind: str, threshold: float) -> float:
     return round((1 - lost) / (1 + lost) - 0.03, 3)
 
 
-def _prefixes(counts: np.ndarray, threshold: float, key_threshold: float):
+def parity_sketch(tokens: np.ndarray, bits: int = 256) -> np.ndarray:
+    """``bits`` bits: whether an even or odd number of tokens falls on each.
+
+    Two sketches differ in no more bits than the sets differ in tokens, so a pair whose sketches differ in
+    too many bits cannot be similar: nothing is lost by this filter.
+    """
+    odd = np.bincount(tokens & np.uint32(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _index(counts: np.ndarray, kind: str, threshold: float, key_threshold: float, buckets: int):
+    """Per batch of records and bucket of tokens one row of packed arrays: the records' prefixes under order 1."""
+    shift, bits = np.uint32(32 - COUNT_BITS), SKETCH_BITS[kind]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of one form within a task come out once
-        shift = np.uint32(32 - COUNT_BITS)
         for batch in batches:
-            toks, docs, places, sizes = [], [], [], []
-            for doc, tokens, keys in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            docs, sketches, facts, toks, places, owners = [], [], [], [], [], []
+            for doc, whole, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if doc in seen:
                     continue
                 seen.add(doc)
-                whole = np.frombuffer(tokens, np.uint32)
-                kinds = [(whole, threshold, 0)] if keys is None else [(np.frombuffer(keys, np.uint32), key_threshold, 0)]
-                if keys is not None and len(whole) <= SHORT:
-                    kinds.append((whole, threshold, 0x5BD1E995))
-                for own, t, salt in kinds:
+                whole = np.frombuffer(whole, np.uint32)
+                kinds = [(whole if key is None else np.frombuffer(key, np.uint32), key_threshold, 0)]
+                if kind == "chars" and len(whole) <= SHORT:
+                    kinds.append((whole, threshold, 1))
+                for own, t, short in kinds:
                     p = prefix_length(len(own), t)
                     if p:
-                        first = own[np.lexsort((own * np.uint32(0x9E3779B1), counts[own >> shift]))]
-                        toks.append(first[:p] ^ np.uint32(salt))
-                        docs.append(np.full(p, doc))
-                        places.append(np.arange(p, dtype=np.int32))
-                        sizes.append(np.full(p, len(own), np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(toks).view(np.int32)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))],
-                    names=["tok", "doc", "place", "n"],
-                )
+                        first = own[np.lexsort((own * np.uint32(0x9E3779B1), counts[own >> shift]))][:p]
+                        toks.append(first ^ np.uint32(short * 0x5BD1E995))
+                        places.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
+                        owners.append(np.full(p, len(docs)))
+                        docs.append(doc)
+                        sketches.append(parity_sketch(whole, bits))
+                        facts.append((len(own), len(whole), short))
+            if not docs:
+                continue
+            tok, place, owner = np.concatenate(toks), np.concatenate(places), np.concatenate(owners)
+            bucket = tok % np.uint32(buckets)
+            order = np.lexsort((owner, bucket))
+            tok, place, owner, bucket = tok[order], place[order], owner[order], bucket[order]
+            docs, sketches, facts = np.array(docs, np.int64), np.stack(sketches), np.array(facts, np.int32)
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            cols: list[list] = [[] for _ in range(7)]
+            for lo, hi in zip(np.append(0, edges), np.append(edges, len(bucket))):
+                own, n = np.unique(owner[lo:hi], return_counts=True)
+                for col, value in zip(cols, (int(bucket[lo]), docs[own].tobytes(), sketches[own].tobytes(), facts[own].tobytes(), n.astype(np.int32).tobytes(), tok[lo:hi].tobytes(), place[lo:hi].tobytes())):
+                    col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "docs", "sketches", "facts", "n", "tok", "place"])
+
+    return run
+
+
+PAIR_BLOCK = 1 << 20
+
+
+def _pairs_of_runs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within each run, about PAIR_BLOCK at a time."""
+    for size in np.unique(sizes):
+        own = starts[sizes == size]
+        if size * (size - 1) // 2 <= PAIR_BLOCK:
+            i, j = np.triu_indices(size, 1)
+            step = max(1, PAIR_BLOCK // len(i))
+            for k in range(0, len(own), step):
+                base = own[k : k + step, None]
+                yield (base + i).ravel(), (base + j).ravel()
+        else:
+            for start in own:
+                for i in range(size - 1):  # one row of the triangle at a time
+                    yield np.full(size - 1 - i, start + i), np.arange(start + i + 1, start + size)
+
+
+def _meet(rows: list[tuple], threshold: float, key_threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of records of one bucket that pass the size, position and parity filters."""
+    docs = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+    sketch = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]).reshape(len(docs), -1)
+    facts = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).reshape(-1, 3)
+    n = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
+    tok = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
+    place = np.concatenate([np.frombuffer(r[5], np.uint16) for r in rows]).astype(np.int32)
+    owner = np.repeat(np.arange(len(docs)), n)
+    _, first = np.unique(docs ^ (facts[:, 2].astype(np.int64) * 0x5851F42D4C957F2D), return_index=True)  # copies met in several tasks
+    single = np.zeros(len(docs), bool)
+    single[first] = True
+    keep = single[owner]
+    tok, place, owner = tok[keep], place[keep], owner[keep]
+    order = np.argsort(tok, kind="stable")
+    tok, place, owner = tok[order], place[order], owner[order]
+    starts = np.append(0, np.flatnonzero(np.diff(tok)) + 1) if len(tok) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(tok)))
+    several = sizes > 1
+    least = np.where(facts[:, 2] == 1, threshold, key_threshold)
+    room = (1 - threshold) / (1 + threshold)
+    found: list[np.ndarray] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_a", "doc_b"])
+
+    for i, j in _pairs_of_runs(starts[several], sizes[several]):
+        a, b = owner[i], owner[j]
+        na, nb, t = facts[a, 0], facts[b, 0], np.minimum(least[a], least[b])
+        ok = (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (np.minimum(na - place[i], nb - place[j]) >= t / (1 + t) * (na + nb) - 1e-6)
+        a, b = a[ok], b[ok]
+        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)
+        ok = apart <= room * (facts[a, 1] + facts[b, 1]) + 1e-6
+        x, y = docs[a[ok]], docs[b[ok]]
+        differ = x != y
+        if differ.any():
+            found.append(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], axis=1))
+            held += len(found[-1])
+            if held > PAIR_BLOCK:
+                yield out()
+                found, held = [], 0
+    if found:
+        yield out()
+
+
+def _candidates(threshold: float, key_threshold: float):
+    """Rows come sorted by bucket; each bucket is met once it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
+        for batch in batches:
+            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if b != bucket and rows:
+                    yield from _meet(rows, threshold, key_threshold)
+                    rows = []
+                bucket = b
+                rows.append(row)
+        if rows:
+            yield from _meet(rows, threshold, key_threshold)
 
     return run
 
@@ -220,22 +336,17 @@ def _verify(threshold: float):
     return run
 
 
-def links(tokens: DataFrame, threshold: float, key_threshold: float) -> DataFrame:
+def links(sets: DataFrame, counts: np.ndarray, kind: str, threshold: float) -> DataFrame:
     """(doc_a, doc_b, similarity), doc_a < doc_b: links between different forms."""
-    counts = token_counts(tokens)
-    index = tokens.select("doc", "tokens", "keys").mapInArrow(_prefixes(counts, threshold, key_threshold), "tok int, doc bigint, place int, n int")
-    index = index.repartition("tok").dropDuplicates(["tok", "doc"])
-    a, b = index.alias("a"), index.alias("b")
-    # Size filter, then position filter: what can still be shared after the places of the common token.
-    t = F.lit(min(threshold, key_threshold))
-    least = F.ceil(t / (1 + t) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9))
-    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    on = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.doc") < F.col("b.doc")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n")) & (rest >= least)
-    pairs = cut(a.join(b, on).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct())
+    key_threshold = key_similarity(kind, threshold)
+    buckets = int(max(BUCKETS_LEAST, counts.sum(dtype=np.int64) // BUCKET_TOKENS))
+    index = sets.select("doc", "tokens", "keys").mapInArrow(_index(counts, kind, threshold, key_threshold, buckets), "bucket int, docs binary, sketches binary, facts binary, n binary, tok binary, place binary")
+    met = index.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(threshold, key_threshold), "doc_a bigint, doc_b bigint")
+    pairs = cut(met.distinct())
     docs = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")).distinct()
     if pairs.count() <= BROADCAST_ROWS:  # checked: at most twice as many records
         docs = F.broadcast(docs)
-    sets = tokens.select("doc", "tokens").join(docs, "doc", "left_semi").dropDuplicates(["doc"])
+    sets = sets.select("doc", "tokens").join(docs, "doc", "left_semi").dropDuplicates(["doc"])
     both = (
         pairs.join(sets.select(F.col("doc").alias("doc_a"), F.col("tokens").alias("ta")), "doc_a")
         .join(sets.select(F.col("doc").alias("doc_b"), F.col("tokens").alias("tb")), "doc_b")
@@ -246,12 +357,13 @@ def links(tokens: DataFrame, threshold: float, key_threshold: float) -> DataFram
 
 def found_pairs(df: DataFrame, key: str, text: str, kind: str, threshold: float) -> DataFrame:
     """(id_a, id_b): all pairs of ids whose texts are similar, copies of one form included."""
-    tokens = tokenised(df, key, text, kind)
-    members = tokens.select("id", "doc").distinct()
+    rows = texts_of(df, key, text)
+    sets, counts = first_pass(rows, kind)
+    members = sets.select("id", "doc").distinct()
     a, b = members.alias("a"), members.alias("b")
     copies = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     linked = (
-        links(tokens, threshold, key_similarity(kind, threshold))
+        links(sets, counts, kind, threshold)
         .join(members.select(F.col("doc").alias("doc_a"), F.col("id").alias("i")), "doc_a")
         .join(members.select(F.col("doc").alias("doc_b"), F.col("id").alias("j")), "doc_b")
         .where("i <> j")
@@ -284,9 +396,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def groups(df: DataFrame, key: str, text: str, kind: str, threshold: float) -> DataFrame:
     """One row per id: group (least form number of its part), links to other forms, copies of its own form."""
-    tokens = tokenised(df, key, text, kind)
-    members = tokens.select("id", "doc").distinct()
-    found = cut(links(tokens, threshold, key_similarity(kind, threshold)).select("doc_a", "doc_b"))
+    rows = texts_of(df, key, text)
+    sets, counts = first_pass(rows, kind)
+    members = sets.select("id", "doc").distinct()
+    found = cut(links(sets, counts, kind, threshold).select("doc_a", "doc_b"))
     ends = found.select(F.col("doc_a").alias("doc")).union(found.select("doc_b"))
     degree = ends.groupBy("doc").agg(F.count("*").alias("links"))
     parts = components(found, "doc_a", "doc_b").withColumnRenamed("node", "doc")
