@@ -43,13 +43,15 @@ def mix(sized: DataFrame, key: str, source: str, size: str, targets: DataFrame,
     planned = cut(plan(sized, source, size, targets, total_share, power))
     u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     p = F.least(F.lit(1.0), F.col("scale") * F.pow(F.col("size").cast("double"), power))
-    order = F.when(p >= 1, F.lit(0.0)).otherwise((u / (1 - u)) / (p / (1 - p)))
+    odds = (u / (1 - u)) / (p / (1 - p))
+    # In (0, 1) and rising with the order number; below 0 for records that are certain (p = 1), spread over bins too.
+    order = F.when(p >= 1, u - 1).otherwise(odds / (1 + odds))
     # The targets are as many rows as sources are named: broadcast by plan only below Spark's own limit.
     drawn = rows.join(planned.select("source", "certain_copies", "rest_tokens", "scale"), "source")
-    drawn = drawn.withColumn("order", F.when(F.col("scale") > 0, order)).withColumn("bin", F.floor(F.col("order") / (1 + F.col("order")) * BINS).cast("int"))
+    drawn = drawn.withColumn("order", F.when(F.col("scale") > 0, order)).withColumn("bin", F.floor(F.col("order") * BINS).cast("int"))
     drawn = cut(drawn)
     bins = drawn.where("order is not null").groupBy("source", "bin").agg(F.sum("size").alias("own"), F.first("rest_tokens").alias("rest_tokens"))
-    w = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most BINS rows each
+    w = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 2 x BINS rows each
     bins = bins.withColumn("through", F.sum("own").over(w)).withColumn("before", F.col("through") - F.col("own"))
     bins = bins.select("source", "bin", "before", F.when(F.col("through") <= F.col("rest_tokens"), 1).when(F.col("before") >= F.col("rest_tokens"), -1).otherwise(0).alias("side"))
     placed = drawn.join(bins, ["source", "bin"], "left")
