@@ -334,14 +334,13 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
     return Model((emb @ weight).astype(np.float32), bias.astype(np.float64), float(temperature), threshold, float(right.mean()))
 
 
-def fit(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, per_text: int = 1500) -> Model:
-    """Trains on at most ``rows`` labelled texts, those with the smallest hash of the text (the documented bound).
-
-    Of a training text longer than ``per_text`` code points, that many are used for fitting; use reads whole texts.
+def fit(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, longest: int = 20_000) -> Model:
+    """Trains on at most ``rows`` labelled texts of at most ``longest`` code points, those with the smallest
+    hash of the text: the documented bound of the training sample. Use reads whole texts of any length.
     """
     sample = (
-        df.select(F.substring(F.col(text), 1, per_text).alias("t"), label_language(F.col(label)).alias("l"), F.xxhash64(text).alias("h"))
-        .where("t is not null and l is not null")
+        df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("l"), F.xxhash64(text).alias("h"))
+        .where((F.length("t") <= longest) & F.col("l").isNotNull())
         .orderBy("h", "t")
         .limit(rows)
         .collect()
