@@ -138,11 +138,22 @@ def class_links(found: DataFrame, min_chars: int) -> DataFrame:
     same = classes.where((F.length("around") >= min_chars) & (F.col("n") > 1)).select(
         "h", F.col("class").alias("ca"), F.col("class").alias("cb"), F.col("pre").alias("left"), (F.length("around") - F.col("pre")).alias("right")
     )
-    a, b = classes.alias("a"), classes.alias("b")
+    # Units with few surroundings: all pairs of those. A unit that stands in many different surroundings (a
+    # stock phrase): only surroundings with an equal window of ``min_chars`` points around the unit meet.
+    several = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    few, many = several.where(F.col("k") <= CLASSES).select("h"), several.where(F.col("k") > CLASSES).select("h")
+    light, heavy = classes.join(few, "h", "left_semi"), classes.join(many, "h", "left_semi")
+    low = F.greatest(F.lit(0), F.lit(min_chars) - (F.length("around") - F.col("pre")))
+    high = F.least(F.col("pre"), F.lit(min_chars - min(UNIT, min_chars)))
+    windows = heavy.where((F.length("around") >= min_chars) & (low <= high)).select("h", "class", "around", "pre", F.explode(F.sequence(low, high)).alias("left"))
+    windows = windows.select("h", "class", F.md5(F.concat(F.col("left").cast("string"), F.lit(":"), F.expr(f"substr(around, pre - left + 1, {min_chars})"))).alias("window"))
+    wa, wb = windows.alias("a"), windows.alias("b")
+    met = wa.join(wb, (F.col("a.h") == F.col("b.h")) & (F.col("a.window") == F.col("b.window")) & (F.col("a.class") < F.col("b.class"))).select("a.h", F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).distinct()
+    a, b = light.alias("a"), light.alias("b")
+    met = met.union(a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class"))).select("a.h", F.col("a.class").alias("ca"), F.col("b.class").alias("cb")))
+    side = lambda c, x, n: classes.select("h", F.col("class").alias(c), F.col("around").alias(x), F.col("pre").alias(n))
     different = (
-        a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")))
-        .select("a.h", F.col("a.class").alias("ca"), F.col("b.class").alias("cb"), F.col("a.around").alias("xa"), F.col("a.pre").alias("la"), F.col("b.around").alias("xb"), F.col("b.pre").alias("lb"))
-        .mapInArrow(_compare(min_chars), "h bigint, ca bigint, cb bigint, left int, right int")
+        met.join(side("ca", "xa", "la"), ["h", "ca"]).join(side("cb", "xb", "lb"), ["h", "cb"]).select("h", "ca", "cb", "xa", "la", "xb", "lb").mapInArrow(_compare(min_chars), "h bigint, ca bigint, cb bigint, left int, right int")
     )
     return same.union(different)
 

@@ -68,3 +68,12 @@ def test_hot_passage(spark):
     p = "".join(random.Random(4).choice("abcdefghij ") for _ in range(210))
     df = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.concat(F.col("id").cast("string"), F.lit(" " + p))).otherwise(F.col("id").cast("string")).alias("t"))
     assert spans.found_pairs(df, "id", "t", 200).count() == 100 * 99 // 2
+
+
+def test_stock_phrase_in_many_surroundings(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase, longer = text(150), text(60)
+    rows = [(k, text(120) + phrase + text(120)) for k in range(90)] + [(100 + k, text(40) + longer + phrase + text(40)) for k in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    assert {tuple(r) for r in spans.found_pairs(df, "id", "t", 200).collect()} == brute(rows, 200)
