@@ -126,8 +126,8 @@ def refresh(disk: DataFrame, index: DataFrame, audit: DataFrame, country: str, *
     top = index.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_top"))
     known = index.select("_ruta", "ord").dropDuplicates(["_ruta"])
     fresh = accepted.join(ids, "_ruta").join(known, "_ruta", "left")
-    # New entries come last, in path order; their number is that of new files only.
-    late = fresh.where("ord is null").select("_ruta", F.row_number().over(Window.orderBy(F.split("_ruta", "/"))).alias("_late"))
+    # New entries come last, in path order: a range sort numbers them in order (with gaps), not in one task.
+    late = cut(fresh.where("ord is null").select("_ruta").orderBy(F.split("_ruta", "/")).select("_ruta", (F.monotonically_increasing_id() + 1).alias("_late")))
     fresh = fresh.join(late, "_ruta", "left").crossJoin(F.broadcast(top)).withColumn("ord", F.coalesce("ord", F.col("_top") + F.col("_late")))
     columns = ["id", "ord", *SERVED, "_archivo", "_ruta", "_bytes", "_mtime"]
     staying = kept if remove_orphans else kept.unionByName(gone.join(fresh.select("id"), "id", "left_anti"))
