@@ -29,6 +29,8 @@ GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
 }
+# Small letters whose capitals are drawn like Latin ones; folded in comparisons without case only.
+SMALL = {"в": "b", "к": "k", "м": "m", "н": "h", "т": "t"}
 LATIN = {"ɡ": "g", "ɑ": "a"}
 HYPHENS = "\u2010\u2011\ufe63\uff0d"
 INVISIBLE = "\xad\u034f\u061c\u115f\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff"
@@ -114,6 +116,16 @@ def transducer() -> Transducer:
     return Transducer()
 
 
+_SMALL = str.maketrans(SMALL)
+_HAS_SMALL = re.compile(f"[{''.join(SMALL)}]").search
+
+
+def folded(text: str) -> str:
+    """The form without case: small letters whose capitals look alike are made equal too, whichever case came first."""
+    lower = text.lower() if text.isascii() else transducer().apply(text).lower()
+    return lower.translate(_SMALL) if _HAS_SMALL(lower) else lower
+
+
 def canonical(text: str | None) -> str | None:
     """The form of one text."""
     return None if text is None else transducer().apply(text)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from lexloom.llm.canon import transducer
+from lexloom.llm.canon import folded
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -177,18 +177,17 @@ def _scores(model: Model, texts: list[str], cuts: list[list[tuple[int, int]]] |
     Without ``cuts`` a unit ends at each sentence end; with them the units are the given spans.
     Each unit begins with a token of row 0 (no score), so none is empty.
     """
-    fold, tokens, heads = transducer(), [], []
+    tokens, heads = [], []
     for k, t in enumerate(texts):
         shown = plain(t)
         heads.append(len(tokens))
         if cuts is None:
             tokens.append("\n")
-            tokens.extend(_TOKEN.findall((shown if shown.isascii() else fold.apply(shown)).lower()))
+            tokens.extend(_TOKEN.findall(folded(shown)))
         else:
             for b, e in cuts[k]:
-                piece = shown[b:e]
                 tokens.append("\n")
-                tokens.extend(_WORD.findall((piece if piece.isascii() else fold.apply(piece)).lower()))
+                tokens.extend(_WORD.findall(folded(shown[b:e])))
     model.learn_words(set(tokens))
     rows = model.rows
     at = np.array([rows[w] for w in tokens], dtype=np.int64)
@@ -250,12 +249,11 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
     are left out: labels in the sample may be wrong.
     """
     rng = np.random.default_rng(seed)
-    fold = transducer()
     sentences, targets = [], []
     for t, lab in zip(texts, labels):
         shown = plain(t)
         for b, e in units(shown):
-            found = _WORD.findall(fold.apply(shown[b:e]).lower())
+            found = _WORD.findall(folded(shown[b:e]))
             if len(found) >= 4:
                 sentences.append([w[:60] for w in found])
                 targets.append(LANGS.index(lab))

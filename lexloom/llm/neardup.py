@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.canon import transducer
+from lexloom.llm.canon import folded
 from lexloom.llm.rolling import codes, mix
 from lexloom.session import cut
 
@@ -104,11 +104,10 @@ def doc_number(form: str) -> int:
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
     """Ids and lower-cased forms, 2,000 records at a time."""
-    apply = transducer().apply
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
-            yield batch.column(0).to_pylist(), [apply(t).lower() for t in batch.column(1).to_pylist()]
+            yield batch.column(0).to_pylist(), [folded(t) for t in batch.column(1).to_pylist()]
 
 
 _FIRST = ["id", "doc", "tokens", "keys", "block", "counts"]

@@ -52,3 +52,8 @@ def test_pairs(spark):
     assert canon.look_alikes(df.limit(0), "id", "t").count() == 0
     forms = canon.with_form(df, "t", "form").where("id = 'b'").first()
     assert forms.form == "Ley 1"
+
+
+def test_without_case_either_order_is_one():
+    assert len({canon.folded(t) for t in ("ВОДНИТЕ", "водните", "BOДHИTE", "Водните")}) == 1
+    assert canon.folded("Вezirk") == "bezirk" and canon.folded("") == ""
