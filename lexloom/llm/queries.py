@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canon, chunks, langid, markup, mixing, neardup, packing, spans, tokens
+from lexloom.llm import canon, chunks, langid, markup, mixing, neardup, packing, pages, spans, tokens
 from lexloom.session import cut, table
 
 
@@ -52,6 +52,11 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(table(spark, d, "ley_completa").select("id", "texto"), "texto").select("id", "texto_limpio", F.array_join("marcas", ",").alias("marcas"))
 
 
+def p4_page_difference(spark: SparkSession, d: str) -> DataFrame:
+    """The method named: what is left of each law without the lines it shares with the page of the nearest URL."""
+    return pages.page_differences(table(spark, d, "ley_completa"), "id", "fuente", "texto").withColumnRenamed("key", "id")
+
+
 def _pieces(spark: SparkSession, d: str, long_only: bool) -> DataFrame:
     most, again = int(param(spark, d, "split_max_chars")), int(param(spark, d, "split_overlap_chars"))
     return chunks.split_texts(table(spark, d, "ley_completa"), "id", "texto", most, again, long_only)
@@ -131,7 +136,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_part(table(spark, d, "documents"), "doc_id", "text", int(param(spark, d, "span_min_chars"))).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_pieces, p7_packed, p7_report, p8_mix, p8_shares, p6_found, p6_segments, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p4_page_difference, p5_found, p5_pieces, p7_packed, p7_report, p8_mix, p8_shares, p6_found, p6_segments, p9_found, p9_shared)}
 ORACLES: dict[str, str] = {
     "p5_found": """
 SELECT DISTINCT id FROM ley_completa
