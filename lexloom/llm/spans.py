@@ -128,7 +128,7 @@ def shared_units(df: DataFrame, key: str, text: str, min_chars: int) -> DataFram
     digests = rows.mapInArrow(_digests(min_chars), "h bigint, key bigint").repartition("h")
     several = digests.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h")
     shared = digests.join(several, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("hs"))  # bounded by the text's length
-    found = rows.dropDuplicates(["key", "t"]).join(shared, "key").mapInArrow(_surroundings(min_chars), "h bigint, key bigint, place int, pre int, around string")
+    found = rows.join(shared, "key").mapInArrow(_surroundings(min_chars), "h bigint, key bigint, place int, pre int, around string")
     return cut(found.withColumn("class", F.xxhash64("around", "pre")).distinct())
 
 
