@@ -3,7 +3,8 @@
 A rolling hash over ``WINDOW`` code points marks landmarks that depend on the content around them
 only. From the end of the piece before, the first landmark beyond the least size is taken and moved
 to the nearest natural boundary within the least and the greatest size: an article's beginning where
-there is one, else a paragraph, else a sentence, else white space; without any, the cut is at the
+there is one, else a paragraph, else a sentence, else white space (or the dot that stands for it), else a stop
+between letters; without any, the cut is at the
 landmark itself (at the greatest size if there is none), never before a combining sign. An edit
 alters the pieces near it only: later cuts meet the same landmarks and boundaries again.
 
@@ -30,14 +31,15 @@ from lexloom.llm.rolling import codes, window_hashes
 WINDOW = 48
 _ARTICLE = re.compile(r"^[^\w\n]{0,12}(?:<[^<>\n]*>|\\[a-z]+\*?\{|\{\\[a-z]+ )*[^\w\n]{0,6}(?:art(?:[ií]culo|igo|icolo|icle|ikel)|член|art\.|§)\s*\d", re.IGNORECASE | re.MULTILINE)
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)+")
-_SENTENCE = re.compile(r"[.!?…]+[\"'»”)\]]*\s+")
-_SPACE = re.compile(r"\s+")
-BOUNDARIES = ("article", "paragraph", "sentence", "space")
+_SENTENCE = re.compile(r"[.!?…]+[\"'»”)\]]*[\s·]+")
+_SPACE = re.compile(r"[\s·]+")
+_JOINT = re.compile(r"[.;:!?](?=[^\W\d])")  # texts whose spaces were lost
+BOUNDARIES = ("article", "paragraph", "sentence", "space", "joint")
 
 
 def _marks(text: str) -> list[list[int]]:
     """Sorted cut places of each class of boundary."""
-    return [[m.start() for m in _ARTICLE.finditer(text)], *([m.end() for m in p.finditer(text)] for p in (_PARAGRAPH, _SENTENCE, _SPACE))]
+    return [[m.start() for m in _ARTICLE.finditer(text)], *([m.end() for m in p.finditer(text)] for p in (_PARAGRAPH, _SENTENCE, _SPACE, _JOINT))]
 
 
 def _nearest(places: list[int], at: int, low: int, high: int) -> int | None:

@@ -336,13 +336,12 @@ def fit(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, longest:
     """Trains on at most ``rows`` labelled texts of at most ``longest`` code points, those with the smallest
     hash of the text: the documented bound of the training sample. Use reads whole texts of any length.
     """
-    sample = (
-        df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("l"), F.xxhash64(text).alias("h"))
-        .where((F.length("t") <= longest) & F.col("l").isNotNull())
-        .orderBy("h", "t")
-        .limit(rows)
-        .collect()
-    )
+    labelled = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("l"), F.xxhash64(text).alias("h")).where((F.length("t") <= longest) & F.col("l").isNotNull())
+    # First the bound on hashes (8 bytes a row, equal texts once), then only the rows below it come to the driver.
+    last = labelled.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([], [])
+    sample = labelled.where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t"), F.min("l").alias("l")).orderBy("h").collect()
     return train([r.t for r in sample], [r.l for r in sample])
 
 
