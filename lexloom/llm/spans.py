@@ -5,8 +5,8 @@ here is a window of ``UNIT`` code points chosen by content: of each ``min_chars
 consecutive windows the one of least hash. Any common span of ``min_chars`` code points therefore
 holds a whole unit chosen on both sides. Digests of units are grouped globally; the units that two
 records share are compared with what surrounds them (exactly, code point by code point), which
-gives the shared spans with their offsets in the original text. The occurrence in the record
-ranked first (least key) is kept, the others are marked for removal.
+gives the shared spans with their offsets in the original text. Of every stretch of text the occurrence
+in the record ranked first (least key) is kept, the others are marked for removal.
 
 Defined results: null keys and null texts share nothing; texts shorter than ``min_chars`` share
 nothing; repeated rows of one key count once, spans repeated within one record only do not count.
@@ -14,6 +14,7 @@ nothing; repeated rows of one key count once, spans repeated within one record o
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,11 +173,46 @@ def found_pairs(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame
     )
 
 
+def parts(begins: list[int], ends: list[int], firsts: list[int]) -> list[tuple[int, int, int, int]]:
+    """(span, begin, end, first_key): the pieces of one text cut where their least key changes.
+
+    ``span`` numbers the stretches of pieces that touch or overlap.
+    """
+    order = sorted(range(len(begins)), key=begins.__getitem__)
+    out, active, at, span = [], [], 0, 0
+    points = sorted({*begins, *ends})
+    for begin, end in zip(points, points[1:]):
+        while at < len(order) and begins[order[at]] <= begin:
+            heapq.heappush(active, (firsts[order[at]], ends[order[at]]))
+            at += 1
+        while active and active[0][1] <= begin:
+            heapq.heappop(active)
+        if not active:
+            continue
+        first = active[0][0]
+        if out and out[-1][2] == begin:
+            if out[-1][3] == first:
+                out[-1] = (span, out[-1][1], end, first)
+                continue
+        else:
+            span += 1
+        out.append((span, begin, end, first))
+    return out
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(key, *part) for key, *pieces in zip(*(batch.column(i).to_pylist() for i in range(4))) for part in parts(*pieces)]
+        cols = list(zip(*rows)) or [[], [], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["key", "span", "begin", "end", "first_key"])
+
+
 def shared_spans(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(key, begin, end, first_key, kept): maximal shared spans of each record, in its original offsets.
+    """(key, span, begin, end, first_key, kept): the shared spans of each record, in its original offsets.
 
-    Spans that touch or overlap are joined. ``first_key`` is the least key that holds a part of the
-    span, ``kept`` tells whether this record is that one; the other occurrences are to be removed.
+    Spans that touch or overlap have one number ``span``; they are cut where the least key that holds the
+    text changes. ``first_key`` is that key for the whole row, ``kept`` tells whether this record is that
+    one; the other occurrences are to be removed.
     """
     found = shared_units(df, key, text, min_chars)
     linked = class_links(found, min_chars)
@@ -184,23 +220,19 @@ def shared_spans(df: DataFrame, key: str, text: str, min_chars: int) -> DataFram
         linked.where("ca <> cb").select("h", F.col("cb").alias("class"), F.col("ca").alias("other"), "left", "right")
     )
     first = found.groupBy("h", F.col("class").alias("other")).agg(F.min("key").alias("first_other"))
-    reach = both.join(first, ["h", "other"]).groupBy("h", "class").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("first_other").alias("first_other"))
-    from pyspark.sql import Window
-
+    reach = both.join(first, ["h", "other"]).groupBy("h", "class", "left", "right").agg(F.min("first_other").alias("first_other"))
     pieces = found.join(reach, ["h", "class"]).select(
         "key", (F.col("place") - F.col("left")).alias("begin"), (F.col("place") + F.col("right")).alias("end"), F.least("key", "first_other").alias("first_key")
     )
-    w = Window.partitionBy("key").orderBy("begin", "end")  # bounded by the length of one text
-    marked = pieces.withColumn("reached", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = marked.withColumn("span", F.sum(F.when(F.col("begin") <= F.col("reached"), 0).otherwise(1)).over(w))
-    joined = marked.groupBy("key", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("first_key").alias("first_key"))
-    return joined.select("key", "begin", "end", "first_key", (F.col("key") == F.col("first_key")).alias("kept"))
+    gathered = pieces.groupBy("key").agg(F.collect_set(F.struct("begin", "end", "first_key")).alias("p"))  # bounded by the length of one text
+    divided = gathered.select("key", "p.begin", "p.end", "p.first_key").mapInArrow(_parts, "key bigint, span int, begin int, end int, first_key bigint")
+    return divided.withColumn("kept", F.col("key") == F.col("first_key"))
 
 
 def shared_part(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """(key, n_chars, spans, shared_chars, removed_chars, share) for every record, those without shared spans too."""
     spans = shared_spans(df, key, text, min_chars).groupBy("key").agg(
-        F.count("*").alias("spans"), F.sum(F.col("end") - F.col("begin")).alias("shared_chars"), F.sum(F.when(~F.col("kept"), F.col("end") - F.col("begin")).otherwise(0)).alias("removed_chars")
+        F.max("span").alias("spans"), F.sum(F.col("end") - F.col("begin")).alias("shared_chars"), F.sum(F.when(~F.col("kept"), F.col("end") - F.col("begin")).otherwise(0)).alias("removed_chars")
     )
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.length(text).alias("n_chars")).dropDuplicates(["key"])
     done = rows.join(spans, "key", "left").fillna(0, ["spans", "shared_chars", "removed_chars"])

@@ -77,3 +77,16 @@ def test_stock_phrase_in_many_surroundings(spark):
     rows = [(k, text(120) + phrase + text(120)) for k in range(90)] + [(100 + k, text(40) + longer + phrase + text(40)) for k in range(20)]
     df = spark.createDataFrame(rows, "id bigint, t string")
     assert {tuple(r) for r in spans.found_pairs(df, "id", "t", 200).collect()} == brute(rows, 200)
+
+
+def test_first_occurrences_next_to_copies_are_kept(spark):
+    rng = random.Random(21)
+    p, q, r = ("".join(rng.choice("abcdefghij ") for _ in range(260)) for _ in range(3))
+    rows = [(1, p), (2, p + q), (3, q), (4, r), (5, q + p + r)]
+    got = {}
+    for x in spans.shared_spans(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", 200).orderBy("key", "begin").collect():
+        got.setdefault(x.key, []).append((x.begin, x.end, x.first_key, x.kept))
+    assert got[1] == [(0, 260, 1, True)] and got[2] == [(0, 260, 1, False), (260, 520, 2, True)] and got[3] == [(0, 260, 2, False)]
+    assert got[5] == [(0, 260, 2, False), (260, 520, 1, False), (520, 780, 4, False)]
+    part = {x.key: x for x in spans.shared_part(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", 200).collect()}
+    assert [part[k].removed_chars for k in (1, 2, 3, 4, 5)] == [0, 260, 260, 0, 780] and (part[2].spans, part[2].shared_chars) == (1, 520)
