@@ -24,9 +24,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Per title: its one form and whether the stored one differs."""
-    rows = canon.with_form(table(spark, d, "documento_resumen").select("id", "titulo").distinct(), "titulo")
-    return rows.select("id", "titulo", "forma", (~F.col("titulo").eqNullSafe(F.col("forma"))).alias("changed"))
+    """Per title and per text of a law: its one form and whether the stored one differs."""
+    titles = table(spark, d, "documento_resumen").select(F.lit("titulo").alias("campo"), "id", F.col("titulo").alias("valor"))
+    texts = table(spark, d, "ley_completa").select(F.lit("texto").alias("campo"), "id", F.col("texto").alias("valor"))
+    rows = canon.with_form(titles.union(texts).distinct(), "valor")
+    return rows.select("campo", "id", "valor", "forma", (~F.col("valor").eqNullSafe(F.col("forma"))).alias("changed"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,19 +39,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per law: its group, its links to other forms and the copies of its own form."""
-    return neardup.groups(table(spark, d, "ley_completa"), "id", "texto", "words", param(spark, d, "near_dup_threshold"))
+    """One row per title of an entry and per law: its group (numbered within ``campo``), its links to other forms and the copies of its own form."""
+    t = param(spark, d, "near_dup_threshold")
+    titles = neardup.groups(table(spark, d, "index_entries"), "id", "titulo", "chars", t)
+    texts = neardup.groups(table(spark, d, "ley_completa"), "id", "texto", "words", t)
+    return titles.select(F.lit("titulo").alias("campo"), "*").union(texts.select(F.lit("texto").alias("campo"), "*"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _marked_up(spark: SparkSession, d: str) -> DataFrame:
+    """(surface, item, texto): the texts of laws and articles as stored."""
     laws = table(spark, d, "ley_completa").select(F.lit("ley_completa").alias("surface"), F.col("id").alias("item"), "texto")
     articles = table(spark, d, "articulo_resultado").select(F.lit("articulo_resultado").alias("surface"), F.concat("id", F.lit("#"), "articulo_buscado").alias("item"), "texto")
-    return laws.union(articles).where(F.size(markup.clean_column("texto")["marcas"]) > 0).select("surface", "item").distinct()
+    return laws.union(articles)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _marked_up(spark, d).where(F.size(markup.clean_column("texto")["marcas"]) > 0).select("surface", "item").distinct()
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    """The clean text of every law and the kinds of markup it had."""
-    return markup.clean_markup(table(spark, d, "ley_completa").select("id", "texto"), "texto").select("id", "texto_limpio", F.array_join("marcas", ",").alias("marcas"))
+    """The clean text of every law and article and the kinds of markup it had."""
+    return markup.clean_markup(_marked_up(spark, d), "texto").select("surface", "item", "texto_limpio", F.array_join("marcas", ",").alias("marcas"))
 
 
 def p4_page_difference(spark: SparkSession, d: str) -> DataFrame:
@@ -119,11 +129,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.union(laws_found).where(F.col("lang") != langid.REJECTED).distinct()
 
 
+def _spoken(documents: DataFrame, laws: DataFrame) -> DataFrame:
+    """(surface, item, text): every document, and every law once."""
+    docs = documents.select(F.lit("documents").alias("surface"), F.col("doc_id").cast("string").alias("item"), "text")
+    return docs.union(laws.select(F.lit("ley_completa").alias("surface"), F.col("id").alias("item"), F.col("texto").alias("text")).distinct())
+
+
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every segment of every document with language and confidence."""
-    documents, _, model = _segmented(spark, d)
-    rows = documents.select("doc_id", F.explode(langid.segments_udf(model)(F.col("text"))).alias("s"))
-    return rows.select("doc_id", "s.begin", "s.end", "s.lang", "s.confidence")
+    """Every segment of every document and law with language and confidence."""
+    documents, laws, model = _segmented(spark, d)
+    rows = _spoken(documents, laws).select("surface", "item", F.explode(langid.segments_udf(model)(F.col("text"))).alias("s"))
+    return rows.select("surface", "item", "s.begin", "s.end", "s.lang", "s.confidence")
+
+
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document and law with its confidence, and all languages present in it."""
+    documents, laws, model = _segmented(spark, d)
+    rows = langid.with_segments(_spoken(documents, laws), "text", model, int(param(spark, d, "segment_min_chars")))
+    return rows.select("surface", "item", "main_lang", "main_confidence", F.array_join("langs", ",").alias("langs"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +159,15 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_part(table(spark, d, "documents"), "doc_id", "text", int(param(spark, d, "span_min_chars"))).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p4_page_difference, p5_found, p5_pieces, p7_packed, p7_report, p8_mix, p8_shares, p6_found, p6_segments, p9_found, p9_shared)}
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage that other documents hold too, with its offsets, the first document that holds it and whether it is kept."""
+    documents = table(spark, d, "documents")
+    found = spans.shared_spans(documents, "doc_id", "text", int(param(spark, d, "span_min_chars"))).withColumnRenamed("key", "doc_id")
+    passage = F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("passage")
+    return found.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "span", "begin", "end", F.col("first_key").alias("first_doc_id"), "kept", passage).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p4_page_difference, p5_found, p5_pieces, p7_packed, p7_report, p8_mix, p8_shares, p6_found, p6_segments, p6_languages, p9_found, p9_shared, p9_passages)}
 ORACLES: dict[str, str] = {
     "p5_found": """
 SELECT DISTINCT id FROM ley_completa
