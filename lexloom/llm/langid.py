@@ -50,6 +50,7 @@ LABELS = {form: lang for lang, forms in FORMS.items() for form in forms.split()}
 
 _NOISE = re.compile(r"<[^<>]*>|https?://\S+|\\[A-Za-z]+|&#?\w+;")
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?](?!\s|$)[^\n.!?]*)*[.!?\n]*\s*")
+_STOP = re.compile(r"(?<=[^\W\d_])[.!?]+(?=[^\W\d_])|[.!?]+\xb7+")  # a sentence end where spaces are lost or drawn
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s|$)|\n")
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -118,7 +119,7 @@ class Model:
         fresh = [w for w in fresh if w[0].isalpha()]
         if not fresh:
             return
-        grams, begins = word_grams([w[:60] for w in fresh])
+        grams, begins = word_grams(fresh)
         base = len(self.counts)
         self.sums = np.concatenate([self.sums, np.add.reduceat(self.table[grams], begins, axis=0)])
         self.counts = np.concatenate([self.counts, np.diff(np.append(begins, len(grams))).astype(np.float32)])
@@ -138,16 +139,36 @@ def plain(text: str) -> str:
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """Sentences as (begin, end); they cover the text. Unbroken stretches are cut every 400 code points."""
-    out = []
+    """Sentences as (begin, end); they cover the text.
+
+    Unbroken stretches are cut at stops between letters or before U+00B7, and every 400 code points.
+    """
+    return _units(text)[0]
+
+
+def _units(text: str) -> tuple[list[tuple[int, int]], bool]:
+    """The units, and whether an unbroken stretch was cut."""
+    out, divided = [], False
     for m in _UNIT.finditer(text):
-        b, e = m.span()
-        while e - b > 800:
-            out.append((b, b + 400))
-            b += 400
-        if e > b:
-            out.append((b, e))
-    return out
+        b, end = m.span()
+        long = end - b > 400
+        for e in (*(x.end() for x in _STOP.finditer(text, b, end)), end) if long else (end,):
+            while e - b > 800:
+                out.append((b, b + 400))
+                b += 400
+                divided = True
+            if e > b:
+                out.append((b, e))
+                divided |= e < end
+            b = e
+    return out, divided
+
+
+def pieces(words: list[str]) -> list[str]:
+    """Runs of letters longer than 60 as pieces of 60 that share 4 letters, so that no gram is lost."""
+    if max(map(len, words), default=0) <= 60:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= 60 else [w[i : i + 60] for i in range(0, len(w) - 4, 56)])]
 
 
 def best_path(scores: np.ndarray, price: float) -> np.ndarray:
@@ -171,23 +192,23 @@ def best_path(scores: np.ndarray, price: float) -> np.ndarray:
 CHANGE_PRICE = 4.0
 
 
-def _scores(model: Model, texts: list[str], cuts: list[list[tuple[int, int]]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scores(model: Model, texts: list[str], cuts: list[list[tuple[int, int]] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums and counts per unit, and the first unit of each text.
 
-    Without ``cuts`` a unit ends at each sentence end; with them the units are the given spans.
+    The units of a text are the spans in ``cuts``; for None a unit ends at each sentence end.
     Each unit begins with a token of row 0 (no score), so none is empty.
     """
     tokens, heads = [], []
     for k, t in enumerate(texts):
         shown = plain(t)
         heads.append(len(tokens))
-        if cuts is None:
+        if cuts[k] is None:
             tokens.append("\n")
-            tokens.extend(_TOKEN.findall(folded(shown)))
+            tokens.extend(pieces(_TOKEN.findall(folded(shown))))
         else:
             for b, e in cuts[k]:
                 tokens.append("\n")
-                tokens.extend(_WORD.findall(folded(shown[b:e])))
+                tokens.extend(pieces(_WORD.findall(folded(shown[b:e]))))
     model.learn_words(set(tokens))
     rows = model.rows
     at = np.array([rows[w] for w in tokens], dtype=np.int64)
@@ -213,7 +234,9 @@ def segment_texts(texts: list[str | None], model: Model) -> list[list[tuple[int,
     there = [i for i, t in enumerate(texts) if t]
     if not there:
         return out
-    sums, counts, first = _scores(model, [texts[i] for i in there])
+    # Sentence ends alone give the same units where no unbroken stretch was cut, at less cost.
+    whole = [own if divided else None for own, divided in (_units(plain(texts[i])) for i in there)]
+    sums, counts, first = _scores(model, [texts[i] for i in there], whole)
     weighted = _weighted(model, sums, counts)
     total = np.add.reduceat(weighted, first, axis=0)
     main = total.argmax(axis=1)

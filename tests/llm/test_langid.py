@@ -58,6 +58,26 @@ def test_empty_null_symbols_long(model):
     assert langid.segment_texts([], model) == [] and langid.segment_texts([None], model) == [None]
 
 
+def test_unbroken_texts_are_cut_where_the_language_changes(model):
+    rng = random.Random(10)
+    for joint in ("", "\xb7"):
+        a, b = (joint.join(" ".join(sentence(rng, lang) for _ in range(12)).split(" ")) for lang in ("es", "de"))
+        (seg,) = langid.segment_texts([a + joint + b], model)
+        assert [s[2] for s in seg] == ["es", "de"] and abs(seg[0][1] - len(a)) <= 1 and (seg[0][0], seg[-1][1]) == (0, len(a + joint + b))
+    a, b = ("".join(" ".join(sentence(rng, lang) for _ in range(40)).replace(".", "").lower().split()) for lang in ("fr", "sv"))
+    (seg,) = langid.segment_texts([a + b], model)
+    assert [s[2] for s in seg] == ["fr", "sv"] and abs(seg[0][1] - len(a)) <= 400
+
+
+def test_long_runs_of_letters_are_scored_whole(model):
+    start, rest = "".join(sentence(random.Random(12), "es")[:-1].lower().split())[:60], "".join(" ".join(sentence(random.Random(k), "de") for k in range(4)).replace(".", "").lower().split())
+    (seg,) = langid.segment_texts([start + rest], model)
+    assert [s[2] for s in seg] == ["de"]
+    for n in (61, 64, 65, 116, 117, 300):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        assert {w[i : i + 5] for i in range(n - 4)} == {p[i : i + 5] for p in langid.pieces([w]) for i in range(len(p) - 4)} and max(map(len, langid.pieces([w]))) <= 60
+
+
 def test_table(spark, model):
     rng = random.Random(9)
     quote = sentence(rng, "es") + " " + sentence(rng, "es") + " «de raad» " + sentence(rng, "es")
