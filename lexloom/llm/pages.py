@@ -1,14 +1,14 @@
 """Problem 4, the method named: differencing of pages with near URLs.
 
 Pages are paired by URL path within each host, their lines aligned by a longest common subsequence, and
-shared lines deleted. Neighbours are found by content alone: pages of one host whose paths are equally
-long and equal but for the last two signs form a block (a hundred pages of numbered paths), and each page
-is paired with the one before it in path order, the first with the second.
+shared lines deleted. Each page is paired with the one before it in path order within its host, the first
+with the second. The order is a range sort over host and path; where a host runs on into the next range, the
+last and first pages of the two meet, so no host sits in one task.
 
 This takes off what a site repeats on every page. It can neither tell markup from text nor keep
 repeated headings, which is why the query p4_found uses ``markup`` instead (see the README).
 
-Defined results: rows with null key, text or URL, or without a host, and pages alone in their block keep
+Defined results: rows with null key, text or URL, or without a host, and pages alone on their host keep
 all their lines; '' has none.
 """
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import cut
+
 
 def common_lines(a: list[str], b: list[str]) -> list[int]:
     """Places in ``a`` of a longest common subsequence of two lists of lines; works from their matches (Hunt and Szymanski)."""
@@ -62,12 +64,18 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_differences(df: DataFrame, key: str, url: str, text: str) -> DataFrame:
     """(key, mate, lines, shared, own_text) for every row with a key and a text."""
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.try_parse_url(F.col(url), F.lit("HOST")).alias("host"), F.try_parse_url(F.col(url), F.lit("PATH")).alias("path")).distinct()
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.try_parse_url(F.col(url), F.lit("HOST")).alias("host"), F.try_parse_url(F.col(url), F.lit("PATH")).alias("path"))
+    rows = cut(rows.distinct().withColumn("page", F.md5(F.to_json(F.struct("key", "host", "path", F.md5("text").alias("t"))))))
     placed = F.col("host").isNotNull() & F.col("path").isNotNull()
-    block = ["host", F.length("path"), F.expr("substr(path, 1, length(path) - 2)")]
-    w = Window.partitionBy(*block).orderBy("path", "key")
-    near = rows.where(placed)
-    for c in ("key", "text"):
-        near = near.withColumn(f"mate_{c}", F.coalesce(F.lag(c).over(w), F.lead(c).over(w)))
-    alone = rows.where(~placed).withColumn("mate_key", F.lit(None).cast("string")).withColumn("mate_text", F.lit(None).cast("string"))
-    return near.unionByName(alone).select("key", "text", "mate_key", "mate_text").mapInArrow(_difference, "key string, mate string, lines bigint, shared bigint, own_text string")
+    # Only keys and paths are sorted; written once, so that every use meets the same ranges.
+    order = ["path", "key", "page"]
+    ranged = cut(rows.where(placed).select("host", *order).repartitionByRange("host", *order).withColumn("part", F.spark_partition_id()))
+    ends = ranged.groupBy("part", "host").agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"))
+    host = Window.partitionBy("host").orderBy("part")  # bounded by the number of ranges
+    ends = ends.select("part", "host", F.lag("last.page").over(host).alias("earlier"), F.lead("first.page").over(host).alias("later"))
+    w = Window.partitionBy("part", "host").orderBy(*order)  # bounded by the size of one range
+    near = ranged.select("part", "host", "page", F.lag("page").over(w).alias("before"), F.lead("page").over(w).alias("after")).join(ends, ["part", "host"])
+    mates = near.select("page", F.coalesce("before", "earlier", "after", "later").alias("mate"))
+    others = rows.select(F.col("page").alias("mate"), F.col("key").alias("mate_key"), F.col("text").alias("mate_text"))
+    paired = rows.select("page", "key", "text").join(mates, "page", "left").join(others, "mate", "left")
+    return paired.select("key", "text", "mate_key", "mate_text").mapInArrow(_difference, "key string, mate string, lines bigint, shared bigint, own_text string")

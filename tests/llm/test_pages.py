@@ -33,3 +33,13 @@ def test_pages(spark):
     assert got["a"].own_text == "Uno" and got["b"].own_text == "Dos" and got["b"].mate == "a" and (got["b"].lines, got["b"].shared) == (3, 2)
     assert got["c"].own_text == "Menú\nTres" and got["d"].shared == 0 and got["e"].mate is None and got["g"].own_text == ""
     assert page_differences(df.limit(0), "id", "u", "t").count() == 0
+
+
+def test_every_page_of_a_host_with_others_is_paired(spark):
+    paths = [("x.example", f"/ley/{n}") for n in (7, 999, 1000, 1299, 1300)] + [("x.example", "/a/b/c")] + [(f"h{k % 3}.example", f"/ley/{k * 37}") for k in range(200)] + [("alone.example", "/ley/1")]
+    rows = [(f"{h}{p}", f"https://{h}{p}", f"Menú\n{h}{p}\nPie") for h, p in paths]
+    got = {r.key: r for r in page_differences(spark.createDataFrame(rows, "id string, u string, t string").repartition(3), "id", "u", "t").collect()}
+    assert len(got) == len(rows) and got["alone.example/ley/1"].mate is None
+    for h in {h for h, _ in paths} - {"alone.example"}:
+        keys = [h + p for p in sorted(p for g, p in paths if g == h)]
+        assert [got[k].mate for k in keys] == [keys[1], *keys[:-1]] and all(got[k].own_text == k for k in keys)
