@@ -47,7 +47,7 @@ MATH_COMMANDS = {"frac", "sqrt", "cdot", "leq", "geq", "times", "sum", "int", "l
 
 #: Java pattern: whatever holds markup matches it (it also lets many plain texts through).
 TRIGGER = (
-    r"(?m)<(?:[A-Za-z/!])|&(?:#|[A-Za-z]{1,10};)|[\\*`~$]|__|_\S|''|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\]\(|\[\^|\[https?:|^[ \t]{0,3}(?:#|=|>|[-+|]|\d{1,9}[.)][ \t])|[-=_]{3,}"
+    r"(?m)<(?:[A-Za-z/!])|&(?:#|[A-Za-z][A-Za-z0-9]{1,30};)|[\\*`~$]|__|_\S|''|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\]\(|\]\[|\[\^|\[https?:|^[ \t]*(?:#|=|>|[-+|]|\d{1,9}[.)][ \t])|[-=_]{3,}"
 )
 
 

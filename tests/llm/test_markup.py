@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from lexloom.llm.markup import TRIGGER, clean, clean_markup
+from lexloom.llm.markup import TRIGGER, clean, clean_column, clean_markup
 
 PLAIN = [
     "n < 32, m > 13.", "R&D 217 & 4.", "C:\\actas\\1919.", "(*) 354.", "a | b | 376.", "-- 95 --", "n == 253?", "'204' \"88\" ''.", "$ 52 + $ 58.", "100 % ^ 34.",
@@ -42,3 +43,10 @@ def test_limits(spark):
 def test_trigger_lets_no_markup_by(spark):
     texts = [(t,) for t in MARKED]
     assert spark.createDataFrame(texts, "t string").where(f"not t rlike r'{TRIGGER.replace(chr(39), chr(92) + 'x27')}'").collect() == []
+
+
+def test_trigger_lets_every_kind_of_markup_through(spark):
+    texts = ["see [text][1] here", "one &frac12; and m&sup2;", "list\n     - deep item", "list\n\t\t\t\t+ deep item", "      == Título ==", "x\n\t\t\t\t| a | b |"]
+    assert all(clean(t)[1] for t in texts)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").where(F.size(clean_column("t")["marcas"]) > 0)
+    assert sorted(r.t for r in got.collect()) == sorted(texts)
