@@ -3,21 +3,18 @@
 Two sets of tokens with a similarity (shared / all) of ``threshold`` or more share a token among
 the first ``n - ceil(threshold * n) + 1`` tokens of each, under *every* global order of tokens. Here:
 
-* order 1, rarest first (frequency from a fixed-size table of counts over all records, ties by
-  hash), generates candidates: records meet at the tokens of their prefix, in buckets of tokens whose
-  number follows the size of the index; size, position and parity filters act on each meeting pair;
-* orders 2 and 3 (two hash orders) must also find a shared prefix token: their filters are
-  intersected with the first before verification;
-* verification counts the shared tokens of the whole sets.
-
-Nothing is sampled or capped. Copies with one form are reduced to one representative first.
-
-Short strings compared by runs of four characters have no rare tokens (their vocabulary is small
-however many there are), so order 1 of the kind ``chars`` runs over windows of eight characters,
-with the similarity that edits leave to them: an edit that costs 4 runs of four costs at most 8
-windows of eight, so 0.7 on runs of four leaves 0.45 on windows of eight (``key_similarity``).
-Strings of up to ``SHORT`` runs meet at their runs of four as well. Orders 2 and 3 and the
-verification use the runs of four themselves.
+* order 1, rarest first (frequency from a table of counts over all records, ties by hash), generates
+  candidates: records meet at the tokens of their prefix, in buckets of tokens whose number follows the
+  size of the index; of two records the smaller meets by its shorter prefix, and size and position filters
+  (for runs of characters also a parity sketch) act on each meeting pair;
+* orders 2 and 3 put one half of all tokens (chosen by hash) first, rarest first within each half, so
+  they look at rare tokens of either half: a candidate must share a token of the pair's own prefixes under
+  both, which is tested on the prefixes alone, before any whole set is fetched;
+* verification counts the shared tokens of the whole sets of the pairs that are left.
+
+The tokens compared are the tokens indexed, for both kinds, so no link is lost. Nothing is sampled or capped.
+Copies with one form are reduced to one representative first. A token that many records hold is met in
+blocks: each pair of blocks of about ``BLOCK`` records is a unit of work of its own, wherever it is placed.
 
 Defined results: null ids and null texts are in no pair; '' and texts with less than a whole run of
 words (characters) equal only their copies; repeated rows count once.
@@ -39,12 +36,14 @@ from lexloom.llm.canon import folded
 from lexloom.llm.rolling import codes, mix
 from lexloom.session import cut
 
-COUNT_BITS = 18  # the table of counts: 2^18 counters, 1 MB
-SKETCH_BITS = {"chars": 256, "words": 512}
-SHORT = 40  # strings with so few runs of four meet at those as well
-BUCKETS_LEAST, BUCKET_TOKENS = 8, 2_000_000  # buckets of the index: their number follows the number of tokens
+COUNT_BITS = (16, 22)  # the table of counts has a counter for every 16 tokens, within these bounds (at most 4 MB)
+SKETCH_BITS = 256  # parity sketch of runs of characters
+BUCKETS_LEAST, BUCKET_TOKENS = 8, 1_000_000  # buckets of the index: their number follows the number of tokens
+BLOCK = 8192  # records of one token that are met in one unit of work
 BROADCAST_ROWS = 400_000  # candidates are broadcast up to this many pairs (16 bytes each)
 _MUL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_HALF = np.uint32(0x85EBCA6B)
+_TIES = np.uint32(0x9E3779B1)
 _words = re.compile(r"\w+").findall
 
 
@@ -76,8 +75,8 @@ def _sets(tokens: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split((both & np.uint64(0xFFFFFFFF)).astype(np.uint32), ends)
 
 
-def token_sets(forms: list[str], kind: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per lower-cased form: the tokens compared, and the tokens of order 1 (the same for words)."""
+def token_sets(forms: list[str], kind: str) -> list[np.ndarray]:
+    """The tokens of each lower-cased form: hashes of its runs of five words or four characters."""
     if kind == "words":
         memo, words, sizes = token_sets.memo, [], []
         for f in forms:
@@ -85,13 +84,9 @@ def token_sets(forms: list[str], kind: str) -> tuple[list[np.ndarray], list[np.n
             words += own
             sizes.append(len(own))
         values = np.array([memo[w] for w in words], dtype=np.uint64)
-        sets = _sets(*_runs(values, np.array(sizes), 5), len(forms))
-        return sets, sets
+        return _sets(*_runs(values, np.array(sizes), 5), len(forms))
     sizes = np.array([len(f) for f in forms])
-    values = codes("".join(forms)).astype(np.uint64)
-    fours = _sets(*_runs(values, sizes, 4), len(forms))
-    eights = _sets(*_runs(values, sizes, 8), len(forms))
-    return fours, eights
+    return _sets(*_runs(codes("".join(forms)).astype(np.uint64), sizes, 4), len(forms))
 
 
 token_sets.memo = _WordHash()
@@ -110,27 +105,32 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[
             yield batch.column(0).to_pylist(), [folded(t) for t in batch.column(1).to_pylist()]
 
 
-_FIRST = ["id", "doc", "tokens", "keys", "block", "counts"]
+_FIRST = ["id", "doc", "tokens", "block", "counts"]
 
 
-def _first_pass(kind: str):
-    """Rows (id, doc, tokens, keys) for the records, and per task the counts of its tokens in blocks of 4,096 buckets."""
+def _first_pass(kind: str, bits: int):
+    """Rows (id, doc, tokens) for the records, and per task the counts of its tokens in blocks of 4,096 counters."""
+    shift = np.uint32(32 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+        total, waiting, held = np.zeros(1 << bits, np.int32), [], 0
+        seen: set[int] = set()  # the tokens of copies of one form are counted and written once in a task
         for ids, forms in _forms(batches):
-            sets, keys = token_sets(forms, kind)
-            for part in (keys,) if kind == "words" else (sets, keys):
-                total += np.bincount(np.concatenate(part) >> np.uint32(32 - COUNT_BITS), minlength=1 << COUNT_BITS)
+            docs = [doc_number(f) for f in forms]
+            fresh = [d not in seen and not seen.add(d) for d in docs]
+            sets = iter(token_sets([f for f, new in zip(forms, fresh) if new], kind)) if any(fresh) else iter(())
+            sets = [next(sets) if new else None for new in fresh]
+            waiting.append(np.concatenate([np.empty(0, np.uint32), *(x for x in sets if x is not None)]))
+            held += len(waiting[-1])
+            if held > 1 << 21:
+                total += np.bincount(np.concatenate(waiting) >> shift, minlength=1 << bits).astype(np.int32)
+                waiting, held = [], 0
             n = len(ids)
-            stored = pa.nulls(n, pa.binary()) if kind == "words" else pa.array([k.tobytes() for k in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([doc_number(f) for f in forms], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), stored, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(docs, pa.int64()), pa.array([x if x is None else x.tobytes() for x in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_FIRST)
+        if waiting:
+            total += np.bincount(np.concatenate(waiting) >> shift, minlength=1 << bits).astype(np.int32)
         blocks = np.unique(np.flatnonzero(total) >> 12)
-        small = np.minimum(total, 2**31 - 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(blocks), t) for t in (pa.string(), pa.int64(), pa.binary(), pa.binary())] + [pa.array(blocks, pa.int32()), pa.array([small[b << 12 : (b + 1) << 12].tobytes() for b in blocks], pa.binary())],
-            names=_FIRST,
-        )
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), t) for t in (pa.string(), pa.int64(), pa.binary())] + [pa.array(blocks, pa.int32()), pa.array([total[b << 12 : (b + 1) << 12].tobytes() for b in blocks], pa.binary())], names=_FIRST)
 
     return run
 
@@ -139,37 +139,50 @@ def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"))
 
 
-def first_pass(rows: DataFrame, kind: str) -> tuple[DataFrame, np.ndarray]:
-    """(sets, counts): (id, doc, tokens, keys) of every record, written once, and how often the tokens of each bucket occur over all records."""
-    done = cut(rows.mapInArrow(_first_pass(kind), "id string, doc bigint, tokens binary, keys binary, block int, counts binary"))
-    total = np.zeros(1 << COUNT_BITS, np.int64)
-    summed = done.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary")
-    for row in summed.collect():  # 64 rows, 2 MB at most, whatever the input
-        total[row.block << 12 : (row.block + 1) << 12] = np.frombuffer(row.counts, np.int64)
-    return done.where("block is null").select("id", "doc", "tokens", "keys"), np.minimum(total, 2**31 - 1).astype(np.int32)
+def count_bits(tokens: int) -> int:
+    return min(max(int(tokens).bit_length() - 4, COUNT_BITS[0]), COUNT_BITS[1])
+
+
+def first_pass(rows: DataFrame, kind: str) -> tuple[DataFrame, np.ndarray, int]:
+    """(sets, rarity, tokens): (id, doc, tokens) of every record, written once (tokens null where a copy in the
+    same task has them); how often the tokens of each
+    counter occur over all records (``rarity_class``, one byte each); and the number of all tokens.
+    """
+    letters = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    bits = count_bits(letters // 7 if kind == "words" else letters)
+    done = cut(rows.mapInArrow(_first_pass(kind, bits), "id string, doc bigint, tokens binary, block int, counts binary"))
+    rarity, tokens = np.zeros(1 << bits, np.uint8), 0
+    summed = done.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary, tokens bigint")
+    for row in summed.collect():  # 1,024 rows of 4 kB at most, whatever the input
+        rarity[row.block << 12 : (row.block + 1) << 12] = np.frombuffer(row.counts, np.uint8)
+        tokens += row.tokens
+    return done.where("block is null").select("id", "doc", "tokens"), rarity, tokens
+
+
+def rarity_class(counts: np.ndarray) -> np.ndarray:
+    """Counts in steps of an eighth of a power of two: 0 for 0, at most 255."""
+    return np.where(counts > 0, np.minimum(np.floor(8 * np.log2(np.maximum(counts, 1))) + 1, 255), 0).astype(np.uint8)
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(1 << 12, np.int64)
     for counts in table.column("counts").to_pylist():
         total += np.frombuffer(counts, np.int32)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([rarity_class(total).tobytes()], pa.binary()), "tokens": pa.array([int(total.sum())], pa.int64())})
 
 
 def prefix_length(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
 
 
-def key_similarity(kind: str, threshold: float) -> float:
-    """What ``threshold`` on the compared tokens leaves on the tokens of order 1.
+def index_prefix(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many first tokens suffice for the smaller of two records."""
+    return n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
 
-    ``chars``: per edit at most 4 runs of four, but 8 windows of eight, are lost on a side; c edits
-    in n runs with (n - 4c) / (n + 4c) = threshold leave (n - 8c) / (n + 8c).
-    """
-    if kind == "words":
-        return threshold
-    lost = (1 - threshold) / (1 + threshold) / 4 * 8
-    return round((1 - lost) / (1 + lost) - 0.03, 3)
+
+def least_shared(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """How many tokens two records of these sizes must share."""
+    return np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-6).astype(np.int64)
 
 
 def parity_sketch(tokens: np.ndarray, bits: int = 256) -> np.ndarray:
@@ -182,46 +195,68 @@ def parity_sketch(tokens: np.ndarray, bits: int = 256) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def _index(counts: np.ndarray, kind: str, threshold: float, key_threshold: float, buckets: int):
+def blocks_of(rarity: np.ndarray) -> np.ndarray:
+    """In how many blocks the records of tokens of these classes are met: from the greatest count of the class."""
+    return np.ceil(np.exp2(rarity.astype(np.float64) / 8) / BLOCK).astype(np.int64)
+
+
+_ANY = 2  # side of a posting that may meet every other
+
+
+def _postings(first: np.ndarray, rarity: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, place, side) of one record's prefix; a hot token once per pair of blocks that the record's block is in."""
+    n = blocks_of(rarity)
+    places = np.minimum(np.arange(len(first)), 0x3FFF)
+    if (n == 1).all():
+        return first, places, np.full(len(first), _ANY)
+    at = np.repeat(np.arange(len(first)), n)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    own = (doc % n)[at]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    unit = (low * 0x9E3779B1 + high * 0x85EBCA6B + (n[at] > 1) * 0x27D4EB2F).astype(np.uint64).astype(np.uint32)
+    return first[at] ^ unit, places[at], np.where(low == high, _ANY, (own == high).astype(np.int64))
+
+
+def _index(rarity: np.ndarray, kind: str, threshold: float, buckets: int):
     """Per batch of records and bucket of tokens one row of packed arrays: the records' prefixes under order 1."""
-    shift, bits = np.uint32(32 - COUNT_BITS), SKETCH_BITS[kind]
+    shift = np.uint32(33 - len(rarity).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of one form within a task come out once
         for batch in batches:
-            docs, sketches, facts, toks, places, owners = [], [], [], [], [], []
-            for doc, whole, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            docs, sizes, sketches, toks, places, owners = [], [], [], [], [], []
+            for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if doc in seen:
                     continue
                 seen.add(doc)
-                whole = np.frombuffer(whole, np.uint32)
-                kinds = [(whole if key is None else np.frombuffer(key, np.uint32), key_threshold, 0)]
-                if kind == "chars" and len(whole) <= SHORT:
-                    kinds.append((whole, threshold, 1))
-                for own, t, short in kinds:
-                    p = prefix_length(len(own), t)
-                    if p:
-                        first = own[np.lexsort((own * np.uint32(0x9E3779B1), counts[own >> shift]))][:p]
-                        toks.append(first ^ np.uint32(short * 0x5BD1E995))
-                        places.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
-                        owners.append(np.full(p, len(docs)))
-                        docs.append(doc)
-                        sketches.append(parity_sketch(whole, bits))
-                        facts.append((len(own), len(whole), short))
+                own = np.frombuffer(whole, np.uint32)
+                if p := prefix_length(len(own), threshold):
+                    rare = rarity[own >> shift]
+                    order = np.lexsort((own * _TIES, rare))[:p]
+                    tok, place, side = _postings(own[order], rare[order], doc)
+                    toks.append(tok)
+                    places.append((place | side << 14).astype(np.uint16))
+                    owners.append(np.full(len(tok), len(docs)))
+                    docs.append(doc)
+                    sizes.append(len(own))
+                    if kind == "chars":
+                        sketches.append(parity_sketch(own, SKETCH_BITS))
             if not docs:
                 continue
             tok, place, owner = np.concatenate(toks), np.concatenate(places), np.concatenate(owners)
-            bucket = tok % np.uint32(buckets)
+            bucket = (tok * np.uint32(0xC2B2AE35) >> np.uint32(8)) % np.uint32(buckets)
             order = np.lexsort((owner, bucket))
             tok, place, owner, bucket = tok[order], place[order], owner[order], bucket[order]
-            docs, sketches, facts = np.array(docs, np.int64), np.stack(sketches), np.array(facts, np.int32)
+            docs, sizes = np.array(docs, np.int64), np.array(sizes, np.int32)
+            sketch = np.stack(sketches) if sketches else None
             edges = np.flatnonzero(np.diff(bucket)) + 1
             cols: list[list] = [[] for _ in range(7)]
             for lo, hi in zip(np.append(0, edges), np.append(edges, len(bucket))):
                 own, n = np.unique(owner[lo:hi], return_counts=True)
-                for col, value in zip(cols, (int(bucket[lo]), docs[own].tobytes(), sketches[own].tobytes(), facts[own].tobytes(), n.astype(np.int32).tobytes(), tok[lo:hi].tobytes(), place[lo:hi].tobytes())):
+                packed = sketch[own].tobytes() if sketch is not None else None
+                for col, value in zip(cols, (int(bucket[lo]), docs[own].tobytes(), sizes[own].tobytes(), packed, n.astype(np.int32).tobytes(), tok[lo:hi].tobytes(), place[lo:hi].tobytes())):
                     col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "docs", "sketches", "facts", "n", "tok", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "docs", "sizes", "sketches", "n", "tok", "place"])
 
     return run
 
@@ -229,62 +264,55 @@ def _index(counts: np.ndarray, kind: str, threshold: float, key_threshold: float
 PAIR_BLOCK = 1 << 20
 
 
-def _pairs_of_runs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places within each run, about PAIR_BLOCK at a time."""
-    for size in np.unique(sizes):
-        own = starts[sizes == size]
-        if size * (size - 1) // 2 <= PAIR_BLOCK:
-            i, j = np.triu_indices(size, 1)
-            step = max(1, PAIR_BLOCK // len(i))
-            for k in range(0, len(own), step):
-                base = own[k : k + step, None]
-                yield (base + i).ravel(), (base + j).ravel()
-        else:
-            for start in own:
-                for i in range(size - 1):  # one row of the triangle at a time
-                    yield np.full(size - 1 - i, start + i), np.arange(start + i + 1, start + size)
-
-
-def _meet(rows: list[tuple], threshold: float, key_threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of records of one bucket that pass the size, position and parity filters."""
+def _meet(rows: list[tuple], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of records of one bucket that pass the prefix, size, position and parity filters of order 1."""
     docs = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-    sketch = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]).reshape(len(docs), -1)
-    facts = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).reshape(-1, 3)
+    sizes = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows]).astype(np.int64)
+    sketch = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]).reshape(len(docs), -1) if rows[0][2] is not None else None
     n = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
     tok = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
-    place = np.concatenate([np.frombuffer(r[5], np.uint16) for r in rows]).astype(np.int32)
+    place = np.concatenate([np.frombuffer(r[5], np.uint16) for r in rows]).astype(np.int64)
     owner = np.repeat(np.arange(len(docs)), n)
-    _, first = np.unique(docs ^ (facts[:, 2].astype(np.int64) * 0x5851F42D4C957F2D), return_index=True)  # copies met in several tasks
+    _, first = np.unique(docs, return_index=True)  # copies met in several tasks
     single = np.zeros(len(docs), bool)
     single[first] = True
     keep = single[owner]
     tok, place, owner = tok[keep], place[keep], owner[keep]
-    order = np.argsort(tok, kind="stable")
-    tok, place, owner = tok[order], place[order], owner[order]
-    starts = np.append(0, np.flatnonzero(np.diff(tok)) + 1) if len(tok) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(starts, len(tok)))
-    several = sizes > 1
-    least = np.where(facts[:, 2] == 1, threshold, key_threshold)
-    room = (1 - threshold) / (1 + threshold)
-    found: list[np.ndarray] = []
-    held = 0
+    key = tok.astype(np.uint64) << np.uint64(32) | sizes[owner].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key, owner, side, place = key[order], owner[order], place[order] >> 14, place[order] & 0x3FFF
+    size = sizes[owner]
+    # Each posting meets those after it in its token's run, up to the greatest size that can be similar.
+    last = np.searchsorted(key, (key & np.uint64(0xFFFFFFFF00000000)) | np.floor(size / threshold + 1e-6).astype(np.uint64), side="right")
+    meets = np.where(place < index_prefix(size, threshold), last - np.arange(len(key)) - 1, 0)
+    starters = np.flatnonzero(meets)
+    through = np.cumsum(meets[starters])
+    at, found, held = 0, [], 0
 
     def out() -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_a", "doc_b"])
 
-    for i, j in _pairs_of_runs(starts[several], sizes[several]):
-        a, b = owner[i], owner[j]
-        na, nb, t = facts[a, 0], facts[b, 0], np.minimum(least[a], least[b])
-        ok = (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (np.minimum(na - place[i], nb - place[j]) >= t / (1 + t) * (na + nb) - 1e-6)
-        a, b = a[ok], b[ok]
-        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)
-        ok = apart <= room * (facts[a, 1] + facts[b, 1]) + 1e-6
-        x, y = docs[a[ok]], docs[b[ok]]
-        differ = x != y
-        if differ.any():
-            found.append(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], axis=1))
-            held += len(found[-1])
+    while at < len(starters):
+        done = through[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(through, done + PAIR_BLOCK, side="right")))
+        own, k = starters[at:to], meets[starters[at:to]]
+        i = np.repeat(own, k)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        at = to
+        left = np.minimum(size[i] - place[i], size[j] - place[j])
+        ok = left * (1 + threshold) >= threshold * (size[i] + size[j]) - 1e-6
+        i, j = i[ok], j[ok]
+        ok = (side[i] == _ANY) | (side[j] == _ANY) | (side[i] != side[j])
+        a, b = owner[i[ok]], owner[j[ok]]
+        if sketch is not None:
+            apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)
+            ok = apart * (1 + threshold) <= (1 - threshold) * (sizes[a] + sizes[b]) + 1e-6
+            a, b = a[ok], b[ok]
+        x, y = docs[a], docs[b]
+        if len(x):
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            held += len(x)
             if held > PAIR_BLOCK:
                 yield out()
                 found, held = [], 0
@@ -292,7 +320,7 @@ def _meet(rows: list[tuple], threshold: float, key_threshold: float) -> Iterator
         yield out()
 
 
-def _candidates(threshold: float, key_threshold: float):
+def _candidates(threshold: float):
     """Rows come sorted by bucket; each bucket is met once it is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,20 +328,49 @@ def _candidates(threshold: float, key_threshold: float):
         for batch in batches:
             for b, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if b != bucket and rows:
-                    yield from _meet(rows, threshold, key_threshold)
+                    yield from _meet(rows, threshold)
                     rows = []
                 bucket = b
                 rows.append(row)
         if rows:
-            yield from _meet(rows, threshold, key_threshold)
+            yield from _meet(rows, threshold)
 
     return run
 
 
-def _share_prefix(a: np.ndarray, b: np.ndarray, multiplier: int, threshold: float) -> bool:
-    """Whether the prefixes of two sets share a token under the order of ``hash * multiplier``."""
-    pa_, pb_ = (np.sort(x * np.uint32(multiplier))[: prefix_length(len(x), threshold)] for x in (a, b))
-    return bool(np.isin(pa_, pb_, assume_unique=True).any())
+def heads(tokens: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of one set under orders 2 and 3: the one or the other half of all tokens first, rarest first within it."""
+    rare = rarity[tokens >> np.uint32(33 - len(rarity).bit_length())]
+    half = tokens * _HALF >> np.uint32(31)
+    p, ties = prefix_length(len(tokens), threshold), tokens * _TIES
+    return tokens[np.lexsort((ties, rare, half))[:p]], tokens[np.lexsort((ties, rare, 1 - half.astype(np.int8)))[:p]]
+
+
+def _heads(rarity: np.ndarray, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+            own = [heads(x, rarity, threshold) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([h[k].tobytes() for h in own], pa.binary()) for k in (0, 1))], names=["doc", "n", "head2", "head3"])
+
+    return run
+
+
+def share_heads(na: int, nb: int, a: tuple[bytes, bytes], b: tuple[bytes, bytes], threshold: float) -> bool:
+    """Whether two records share a token of their prefixes, cut to what this pair needs, under orders 2 and 3."""
+    must = int(least_shared(np.int64(na), np.int64(nb), threshold))
+    return all(not set(np.frombuffer(x, np.uint32)[: na - must + 1].tolist()).isdisjoint(np.frombuffer(y, np.uint32)[: nb - must + 1].tolist()) for x, y in zip(a, b))
+
+
+def _intersect(threshold: float):
+    """Candidates that meet under orders 2 and 3 as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [share_heads(na, nb, (a2, a3), (b2, b3), threshold) for na, a2, a3, nb, b2, b3 in zip(*(batch.column(i).to_pylist() for i in range(2, 8)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_a", "doc_b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
 
 
 def _verify(threshold: float):
@@ -322,8 +379,6 @@ def _verify(threshold: float):
             out_a, out_b, out_s = [], [], []
             for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 x, y = np.frombuffer(ta, np.uint32), np.frombuffer(tb, np.uint32)
-                if not (_share_prefix(x, y, 0x85EBCA6B, threshold) and _share_prefix(x, y, 0xC2B2AE35, threshold)):
-                    continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 similarity = shared / max(1, len(x) + len(y) - shared)
                 if similarity >= threshold - 1e-9:
@@ -335,34 +390,37 @@ def _verify(threshold: float):
     return run
 
 
-def links(sets: DataFrame, counts: np.ndarray, kind: str, threshold: float) -> DataFrame:
+def candidates(sets: DataFrame, rarity: np.ndarray, tokens: int, kind: str, threshold: float) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: pairs that pass the filters of order 1."""
+    buckets = int(max(BUCKETS_LEAST, tokens // BUCKET_TOKENS))
+    index = sets.where("tokens is not null").select("doc", "tokens").mapInArrow(_index(rarity, kind, threshold, buckets), "bucket int, docs binary, sizes binary, sketches binary, n binary, tok binary, place binary")
+    return index.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(threshold), "doc_a bigint, doc_b bigint").distinct()
+
+
+def links(sets: DataFrame, rarity: np.ndarray, tokens: int, kind: str, threshold: float) -> DataFrame:
     """(doc_a, doc_b, similarity), doc_a < doc_b: links between different forms."""
-    key_threshold = key_similarity(kind, threshold)
-    buckets = int(max(BUCKETS_LEAST, counts.sum(dtype=np.int64) // BUCKET_TOKENS))
-    index = sets.select("doc", "tokens", "keys").mapInArrow(_index(counts, kind, threshold, key_threshold, buckets), "bucket int, docs binary, sketches binary, facts binary, n binary, tok binary, place binary")
-    met = index.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(threshold, key_threshold), "doc_a bigint, doc_b bigint")
-    pairs = cut(met.distinct())
+    pairs = cut(candidates(sets, rarity, tokens, kind, threshold))
     docs = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")).distinct()
     if pairs.count() <= BROADCAST_ROWS:  # checked: at most twice as many records
         docs = F.broadcast(docs)
-    sets = sets.select("doc", "tokens").join(docs, "doc", "left_semi").dropDuplicates(["doc"])
-    both = (
-        pairs.join(sets.select(F.col("doc").alias("doc_a"), F.col("tokens").alias("ta")), "doc_a")
-        .join(sets.select(F.col("doc").alias("doc_b"), F.col("tokens").alias("tb")), "doc_b")
-        .select("doc_a", "doc_b", "ta", "tb")
-    )
+    sets = cut(sets.where("tokens is not null").select("doc", "tokens").join(docs, "doc", "left_semi").dropDuplicates(["doc"]))
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") for c in df.columns])
+    tested = sets.mapInArrow(_heads(rarity, threshold), "doc bigint, n int, head2 binary, head3 binary")
+    met = pairs.join(side(tested, "a"), "doc_a").join(side(tested, "b"), "doc_b").select("doc_a", "doc_b", *[f"{c}_{x}" for x in "ab" for c in ("n", "head2", "head3")])
+    met = met.mapInArrow(_intersect(threshold), "doc_a bigint, doc_b bigint")
+    both = met.join(side(sets, "a"), "doc_a").join(side(sets, "b"), "doc_b").select("doc_a", "doc_b", "tokens_a", "tokens_b")
     return both.mapInArrow(_verify(threshold), "doc_a bigint, doc_b bigint, similarity double")
 
 
 def found_pairs(df: DataFrame, key: str, text: str, kind: str, threshold: float) -> DataFrame:
     """(id_a, id_b): all pairs of ids whose texts are similar, copies of one form included."""
     rows = texts_of(df, key, text)
-    sets, counts = first_pass(rows, kind)
+    sets, rarity, tokens = first_pass(rows, kind)
     members = sets.select("id", "doc").distinct()
     a, b = members.alias("a"), members.alias("b")
     copies = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     linked = (
-        links(sets, counts, kind, threshold)
+        links(sets, rarity, tokens, kind, threshold)
         .join(members.select(F.col("doc").alias("doc_a"), F.col("id").alias("i")), "doc_a")
         .join(members.select(F.col("doc").alias("doc_b"), F.col("id").alias("j")), "doc_b")
         .where("i <> j")
@@ -378,7 +436,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     the longest chain. Nodes without an edge are not in the result.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    for _ in range(50):
+    while True:  # the stars shrink every round until nothing changes
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -396,9 +454,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def groups(df: DataFrame, key: str, text: str, kind: str, threshold: float) -> DataFrame:
     """One row per id: group (least form number of its part), links to other forms, copies of its own form."""
     rows = texts_of(df, key, text)
-    sets, counts = first_pass(rows, kind)
+    sets, rarity, tokens = first_pass(rows, kind)
     members = sets.select("id", "doc").distinct()
-    found = cut(links(sets, counts, kind, threshold).select("doc_a", "doc_b"))
+    found = cut(links(sets, rarity, tokens, kind, threshold).select("doc_a", "doc_b"))
     ends = found.select(F.col("doc_a").alias("doc")).union(found.select("doc_b"))
     degree = ends.groupBy("doc").agg(F.count("*").alias("links"))
     parts = components(found, "doc_a", "doc_b").withColumnRenamed("node", "doc")

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,13 +93,44 @@ def test_hot_group_of_copies(spark):
 
 def test_filters_lose_nothing():
     rng = np.random.default_rng(1)
+    rarity = neardup.rarity_class(rng.integers(0, 5000, 1 << 16))
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 32, 80).astype(np.uint32))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 32, rng.integers(0, 9)).astype(np.uint32)]))
         apart = np.bitwise_count(neardup.parity_sketch(a) ^ neardup.parity_sketch(b)).sum()
         assert apart <= len(np.setxor1d(a, b))
         if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.7:
-            assert neardup._share_prefix(a, b, 0x85EBCA6B, 0.7) and neardup._share_prefix(a, b, 0xC2B2AE35, 0.7)
+            x, y = ([h.tobytes() for h in neardup.heads(s, rarity, 0.7)] for s in (a, b))
+            assert neardup.share_heads(len(a), len(b), x, y, 0.7)
+
+
+def test_reordered_inserted_and_repeated_words_of_titles(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    rows = []
+    for k in range(150):
+        words = [word() for _ in range(7)]
+        mixed = words[:]
+        rng.shuffle(mixed)
+        rows += [(f"a{k:03}", " ".join(words)), (f"b{k:03}", " ".join(mixed)), (f"c{k:03}", " ".join(words + [words[0]])), (f"d{k:03}", " ".join(words)[:30] + "x" + " ".join(words)[30:] + " y")]
+    df = spark.createDataFrame(rows, "id string, t string")
+    assert {tuple(r) for r in neardup.found_pairs(df, "id", "t", "chars", 0.7).collect()} == brute(rows, "chars", 0.7)
+
+
+@pytest.mark.parametrize("block", [8192, 7, 40])
+def test_hot_tokens_met_in_blocks_lose_no_pair(monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 32, 60).astype(np.uint32))
+    sets = [np.unique(np.append(base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 32, 3).astype(np.uint32))) for _ in range(120)]
+    total = np.bincount(np.concatenate(sets) >> np.uint32(16), minlength=1 << 16)
+    docs = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, len(sets))]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
+    rows = sorted((r for out in neardup._index(neardup.rarity_class(total), "words", 0.8, 4)(iter([batch])) for r in zip(*(out.column(i).to_pylist() for i in range(7)))), key=lambda r: r[0])
+    index = pa.RecordBatch.from_pylist([dict(zip("abcdefg", r)) for r in rows])
+    got = {p for out in neardup._candidates(0.8)(iter([index])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    want = {(min(x, y), max(x, y)) for (x, a), (y, b) in itertools.combinations(zip(docs, sets), 2) if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8}
+    assert len(want) > 100 and want <= got
 
 
 def test_components(spark):
