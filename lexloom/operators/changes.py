@@ -25,8 +25,9 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,7 +37,7 @@ class Log:
 
     partition: str
     key: str
-    offset: str
+    offsets: tuple[str, ...]  # compared in this order; unique within a partition
     version: str
     tracked: tuple[str, ...]
 
@@ -58,8 +59,8 @@ def plan_history(runs: DataFrame, partition: str, run_id: str, at: str, status:
 
 def replay_history(log: DataFrame, plans: DataFrame, names: Log) -> DataFrame:
     """(run_id, key, offset): the work list of every committed run. The offset is the last one taken for the key."""
-    rows = log.where(F.col(names.partition).isNotNull() & F.col(names.key).isNotNull() & F.col(names.offset).isNotNull()).select(
-        F.col(names.partition).alias("part"), F.col(names.key).alias("key"), F.col(names.offset).alias("offset"), F.struct(names.version, *names.tracked).alias("state")
+    rows = log.where(F.col(names.partition).isNotNull() & F.col(names.key).isNotNull() & F.col(names.offsets[0]).isNotNull()).select(
+        F.col(names.partition).alias("part"), F.col(names.key).alias("key"), F.col(names.offsets[0]).alias("offset"), F.struct(names.version, *names.tracked).alias("state")
     )
     begin = rows.agg(F.min("offset").alias("first"))  # one row
     # Ranges and rows meet by partition and day, so a row is compared with the few runs of its day.
@@ -74,12 +75,25 @@ def replay_history(log: DataFrame, plans: DataFrame, names: Log) -> DataFrame:
     return known.where((F.col("nth") == 1) | ~F.col("now").eqNullSafe(F.col("was"))).select("run_id", "key", "offset")
 
 
+def _after(a: list, b: list) -> bool:
+    """Whether offset ``a`` is beyond ``b``; one of fewer values is beyond all that begin with it."""
+    for x, y in zip(a, b):
+        if x != y:
+            return x > y
+    return len(a) < len(b)
+
+
 class ChangeCapture:
     """Incremental runs over a growing log, with all state in ``root`` (any file system Spark can write).
 
-    root/plans/N.json     the plan of batch N, written before its work
-    root/changes/batch=N  the work list; root/states/batch=N: the states the batch leaves
-    root/commits/N.json   the committed offsets, written last; without it batch N does not count
+    root/plans/N.json    the plan of batch N (the range of offsets per partition), written before its work
+    root/batches/batch=N the states the batch leaves; rows with ``changed`` are its work list
+    root/commits/N.json  the committed offsets of all partitions, written last; without it batch N does not count
+
+    Offsets are unique within a partition and never go back: of deliveries of one instant a second column
+    (a sequence number) tells which came later, so one that lands after a run is taken by the next. A plan or
+    commit is a whole file, renamed into place; that two runs cannot take one batch holds where a rename
+    onto an existing file fails (HDFS and object stores with conditional writes).
     """
 
     def __init__(self, spark: SparkSession, root: str, names: Log, compact_every: int = 20) -> None:
@@ -90,83 +104,119 @@ class ChangeCapture:
     def _path(self, *parts: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
-    def _read(self, kind: str) -> dict[int, dict]:
+    def _last(self, kind: str) -> int:
+        """The number of the last file of a kind, -1 if there is none. Contents are not read."""
         if not self._fs.exists(self._path(kind)):
-            return {}
+            return -1
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(kind))]
-        out = {}
-        for name in names:
-            if name.endswith(".json") and not name.startswith((".", "_")):
-                stream = self._fs.open(self._path(kind, name))
-                try:
-                    out[int(name[:-5])] = json.loads(bytes(stream.readAllBytes()).decode())
-                finally:
-                    stream.close()
-        return out
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[0].isdigit()), default=-1)
+
+    def _read(self, kind: str, batch: int) -> dict:
+        stream = self._fs.open(self._path(kind, f"{batch}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def _write(self, kind: str, batch: int, value: dict) -> None:
         """A whole file or none: written aside, then renamed."""
         aside, final = self._path(kind, f".{uuid.uuid4().hex}"), self._path(kind, f"{batch}.json")
         stream = self._fs.create(aside, True)
         try:
-            stream.write(bytearray(json.dumps(value, default=str).encode()))
+            stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
-        if not self._fs.rename(aside, final):
+        if self._fs.exists(final) or not self._fs.rename(aside, final):
             self._fs.delete(aside, False)
             raise RuntimeError(f"{kind} {batch} exists already: another run took this batch")
 
-    def _rows(self, log: DataFrame) -> DataFrame:
-        n = self.names
-        offset = F.col(n.offset).cast("timestamp_ntz").cast("string") if dict(log.dtypes)[n.offset].startswith("timestamp") else F.col(n.offset).cast("bigint")
-        return log.where(F.col(n.partition).isNotNull() & F.col(n.key).isNotNull() & F.col(n.offset).isNotNull()).select(
-            F.col(n.partition).cast("string").alias("part"), F.col(n.key).alias("key"), offset.alias("offset"), F.struct(n.version, *n.tracked).alias("state")
-        )
-
-    def committed(self) -> dict[str, object]:
+    def committed(self) -> dict[str, list]:
         """The committed offset of each partition."""
-        done = self._read("commits")
-        return done[max(done)]["offsets"] if done else {}
-
-    def plan(self, log: DataFrame) -> tuple[int, dict]:
-        """The plan left by a failed run, else a new one. Its size is the number of partitions."""
-        plans, done = self._read("plans"), self._read("commits")
-        batch = max(done, default=-1) + 1
-        if batch in plans:
-            return batch, plans[batch]
+        last = self._last("commits")
+        return self._read("commits", last)["offsets"] if last >= 0 else {}
+
+    def plan(self, log: DataFrame, until: dict[str, list] | None = None) -> tuple[int, dict]:
+        """The plan left by a failed run, else a new one. Its size is the number of partitions.
+
+        A new plan goes from the committed offsets to the last ones in the log, or to those of ``until``
+        (an offset of fewer values than the log has columns includes all that begin with it).
+        """
+        batch = self._last("commits") + 1
+        if self._last("plans") >= batch:
+            return batch, self._read("plans", batch)
         last = self.committed()
-        ends = {r.part: r.offset for r in self._rows(log).groupBy("part").agg(F.max("offset").alias("offset")).collect()}
-        ranges = {p: [last.get(p), end] for p, end in ends.items() if last.get(p) is None or end > last[p]}
+        ends = self._ends(log, last) if until is None else until
+        ranges = {p: [last.get(p), end] for p, end in ends.items() if p not in last or _after(end, last[p])}
         value = {"ranges": ranges}
         if ranges:
             self._write("plans", batch, value)
         return batch, value
 
-    def _between(self, rows: DataFrame, ranges: dict) -> DataFrame:
-        low = F.create_map(*[F.lit(x) for p, (a, _) in ranges.items() if a is not None for x in (p, a)]) if any(a is not None for a, _ in ranges.values()) else None
-        high = F.create_map(*[F.lit(x) for p, (_, b) in ranges.items() for x in (p, b)])
-        taken = rows.where(F.col("part").isin(list(ranges)) & (F.col("offset") <= F.try_element_at(high, F.col("part"))))
-        if low is not None:
-            at = F.try_element_at(low, F.col("part"))
-            taken = taken.where(at.isNull() | (F.col("offset") > at))
-        return taken
+    def _ends(self, log: DataFrame, last: dict[str, list]) -> dict[str, list]:
+        """The greatest offset of each partition; the scan begins at the least committed one if all partitions have one."""
+        end = F.max(F.struct(*[F.col(c) for c in self.names.offsets]))
+        shown = [F.date_format(f"end.{c}", "yyyy-MM-dd HH:mm:ss.SSSSSS") if t.startswith("timestamp") else F.col(f"end.{c}") for c, t in self._offset_types(log)]
+        rows = log.where(self._present())
+        if last:
+            first, kind = self._offset_types(log)[0]
+            low = F.lit(min(x[0] for x in last.values())).cast(kind)
+            rows = rows.where((F.col(first) >= low) | ~F.col(self.names.partition).isin(list(last)))
+        return {r[0]: list(r[1]) for r in rows.groupBy(F.col(self.names.partition).cast("string")).agg(end.alias("end")).select(F.col(self.names.partition), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(shown)])).collect()}
+
+    def _present(self) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (self.names.partition, self.names.key, *self.names.offsets)])
+
+    def _offset_types(self, log: DataFrame) -> list[tuple[str, str]]:
+        types = dict(log.dtypes)
+        return [(c, types[c]) for c in self.names.offsets]
+
+    def _beyond(self, log: DataFrame, value: list, over: bool) -> Column:
+        """Offsets greater than ``value``, or those up to it: on the stored columns with literals, so that the scan gets them."""
+        cols = [(F.col(c), F.lit(v).cast(t)) for (c, t), v in zip(self._offset_types(log), value)]
+        strict = None
+        for c, v in reversed(cols):
+            if strict is None:
+                strict = c > v if over else c <= v
+            else:
+                strict = (c > v) | ((c == v) & strict) if over else (c < v) | ((c == v) & strict)
+        first, v = cols[0]
+        return strict & ((first >= v) if over else (first <= v))
+
+    def _between(self, log: DataFrame, ranges: dict[str, list]) -> DataFrame:
+        """The rows of the log within the ranges: one condition of literals per partition."""
+        part = F.col(self.names.partition)
+        own = []
+        for p, (low, high) in ranges.items():
+            own.append((part == p) & self._beyond(log, high, False) & (self._beyond(log, low, True) if low is not None else F.lit(True)))
+        return log.where(self._present() & reduce(lambda a, b: a | b, own))
+
+    def _rows(self, log: DataFrame) -> DataFrame:
+        n = self.names
+        return log.select(F.col(n.partition).cast("string").alias("part"), F.col(n.key).alias("key"), F.struct(*n.offsets).alias("offset"), F.struct(n.version, *n.tracked).alias("state"))
 
     def _states(self) -> DataFrame | None:
-        done = self._read("commits")
-        if not done:
+        """The states left by the committed batches since the last one that holds all."""
+        last = self._last("commits")
+        if last < 0:
             return None
-        whole = max((b for b in done if done[b].get("compacted")), default=min(done))
-        paths = [f"{self.root}/states/batch={b}" for b in sorted(done) if b >= whole]
-        return self.spark.read.parquet(*paths)
+        base = self._read("commits", last)["base"]
+        return self.spark.read.schema(self._schema).parquet(*[f"{self.root}/batches/batch={b}" for b in range(base, last + 1)])
 
-    def run(self, log: DataFrame, stop: Callable[[str], None] = lambda stage: None) -> int | None:
-        """One batch; its number, or None if there is nothing new. ``stop`` is called between the stages (tests raise in it)."""
-        batch, plan = self.plan(log)
+    def run(self, log: DataFrame, until: dict[str, list] | None = None, failing: frozenset[str] | set[str] = frozenset(), stop: Callable[[str], None] = lambda stage: None) -> int | None:
+        """One batch; its number, or None if there is nothing new.
+
+        Partitions in ``failing`` are planned but not committed: a later batch takes their ranges again, with
+        what has come since. ``stop`` is called between the stages (tests raise in it).
+        """
+        batch, plan = self.plan(log, until)
         if not plan["ranges"]:
             return None
         stop("planned")
-        now = self._between(self._rows(log), plan["ranges"]).groupBy("part", "key").agg(F.max("state").alias("state"), F.max("offset").alias("offset"))
-        compact = (batch + 1) % self.compact_every == 0
+        ranges = {p: r for p, r in plan["ranges"].items() if p not in failing}
+        done = {p: high for p, (_, high) in ranges.items()}
+        now = self._rows(self._between(log, ranges) if ranges else log.limit(0)).groupBy("part", "key").agg(F.max("state").alias("state"), F.max("offset").alias("offset"))
+        compact = batch > 0 and batch % self.compact_every == 0
+        self._schema = now.select("part", "key", "state", "offset", F.lit(True).alias("changed")).schema
         old = self._states()
         if old is None:
             merged = now.withColumn("was", F.lit(None).cast(now.schema["state"].dataType)).withColumn("known", F.lit(False))
@@ -175,21 +225,49 @@ class ChangeCapture:
             before = met.groupBy("part", "key").agg(F.max("state").alias("was"))
             merged = now.join(before.withColumn("known", F.lit(True)), ["part", "key"], "full" if compact else "left").withColumn("known", F.coalesce("known", F.lit(False)))
         latest = F.when(F.col("state").isNull() | (F.col("was") > F.col("state")), F.col("was")).otherwise(F.col("state"))
-        merged = merged.withColumn("latest", latest)
-        merged.select("part", "key", F.col("latest").alias("state")).write.mode("overwrite").parquet(f"{self.root}/states/batch={batch}")
-        stop("states")
         value = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in self.names.tracked])
-        changed = merged.where(F.col("offset").isNotNull() & (~F.col("known") | ~value("latest").eqNullSafe(value("was"))))
-        changed.select("part", "key", "offset", *[F.col(f"latest.{x}").alias(x) for x in self.names.tracked]).write.mode("overwrite").parquet(f"{self.root}/changes/batch={batch}")
-        stop("changes")
-        offsets = self.committed() | {p: b for p, (_, b) in plan["ranges"].items()}
-        self._write("commits", batch, {"offsets": offsets, "compacted": compact})
+        changed = F.col("offset").isNotNull() & (~F.col("known") | ~value("latest").eqNullSafe(value("was")))
+        merged = merged.withColumn("latest", latest).select("part", "key", F.col("latest").alias("state"), "offset", changed.alias("changed"))
+        merged.write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch}")
+        stop("written")
+        base = batch if compact or old is None else self._read("commits", batch - 1)["base"]
+        self._write("commits", batch, {"offsets": self.committed() | done, "base": base})
         return batch
 
+    def plans(self) -> list[tuple[int, str, list | None, list]]:
+        """(batch, partition, from, to) of all plans written so far."""
+        return [(b, p, *r) for b in range(self._last("plans") + 1) for p, r in self._read("plans", b)["ranges"].items()]
+
     def changes(self) -> DataFrame | None:
-        """The sink: work of committed batches only, without repeats of a key and offset."""
-        done = sorted(self._read("commits"))
-        if not done:
+        """(batch, part, key, offset, tracked columns): the work of committed batches, without repeats of a key and offset."""
+        last = self._last("commits")
+        if last < 0:
             return None
-        rows = self.spark.read.option("basePath", f"{self.root}/changes").parquet(*[f"{self.root}/changes/batch={b}" for b in done])
+        rows = self.spark.read.option("basePath", f"{self.root}/batches").parquet(*[f"{self.root}/batches/batch={b}" for b in range(last + 1)])
+        rows = rows.where("changed").select("batch", "part", "key", "offset", *[F.col(f"state.{x}").alias(x) for x in self.names.tracked])
         return rows.dropDuplicates(["part", "key", "offset"])
+
+
+def replay_runs(log: DataFrame, plans: DataFrame, names: Log, root: str) -> DataFrame:
+    """(run_id, key): the work list of every successful run of a history, by driving a ``ChangeCapture`` through it.
+
+    Batch k holds the k-th run of each partition, all planned ahead. Runs that did not succeed are not
+    committed, so that the next run of their partition takes their range again. There are as many batches as one
+    partition has runs, each reads its own ranges of the log only. ``plans`` is the (small) table of
+    ``plan_history``, whose ``to`` bounds the first offset column.
+    """
+    rounds: dict[int, dict[str, tuple]] = {}
+    nth: dict[str, int] = {}
+    for r in plans.orderBy("to", "run_id").select("part", "run_id", F.date_format("to", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("to"), "committed").collect():
+        nth[r.part] = nth.get(r.part, -1) + 1
+        rounds.setdefault(nth[r.part], {})[r.part] = (r.run_id, r.to, r.committed)
+    capture, ids = ChangeCapture(log.sparkSession, root, names), []
+    for k in sorted(rounds):
+        own = rounds[k]
+        batch = capture.run(log, until={p: [to] for p, (_, to, _) in own.items()}, failing={p for p, (*_, ok) in own.items() if not ok})
+        ids += [(batch, p, run_id) for p, (run_id, _, ok) in own.items() if ok and batch is not None]
+    made = log.sparkSession.createDataFrame(ids, "batch int, part string, run_id long")
+    sink = capture.changes()
+    if sink is None:
+        return log.limit(0).select(F.lit(0).cast("long").alias("run_id"), F.col(names.key).alias("key"))
+    return sink.join(F.broadcast(made), ["batch", "part"]).select("run_id", "key")  # one row per run

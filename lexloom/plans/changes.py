@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators.changes import Log, plan_history, replay_history
-from lexloom.session import table
+from lexloom.operators.changes import Log, plan_history, replay_history, replay_runs
+from lexloom.session import shared_dir, table
 
-FEED = Log("pais_idx", "_ruta", "arrived_at", "_mtime", ("ultima_actualizacion", "_bytes"))
+FEED = Log("pais_idx", "_ruta", ("arrived_at", "feed_seq"), "_mtime", ("ultima_actualizacion", "_bytes"))
 
 
 def plans(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +18,12 @@ def plans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The work list of every successful run, each run driven through the change capture."""
+    return replay_runs(table(spark, d, "index_feed"), plans(spark, d), FEED, f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}").select("run_id", F.col("key").alias("_ruta"))
+
+
+def p1_history(spark: SparkSession, d: str) -> DataFrame:
+    """The same work lists from the whole history at once, in one join: the check of ``p1_found``."""
     return replay_history(table(spark, d, "index_feed"), plans(spark, d), FEED).select("run_id", F.col("key").alias("_ruta"))
 
 
@@ -26,11 +34,11 @@ def p1_plans(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_work_size(spark: SparkSession, d: str) -> DataFrame:
     """Per committed run: how many paths it must process."""
-    found = p1_found(spark, d).groupBy("run_id").agg(F.count("*").alias("rutas"))
+    found = p1_history(spark, d).groupBy("run_id").agg(F.count("*").alias("rutas"))
     return plans(spark, d).where("committed").select("run_id", F.col("part").alias("pais_idx")).join(found, "run_id", "left").fillna(0, ["rutas"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plans, p1_work_size)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p1_plans, p1_work_size)}
 
 _STATES = """
 WITH ok AS (SELECT DISTINCT run_id, pais_idx, started_at FROM index_runs WHERE status = 'ok' AND pais_idx IS NOT NULL AND started_at IS NOT NULL),
@@ -48,6 +56,7 @@ found AS (
 
 ORACLES = {
     "p1_found": _STATES + "SELECT run_id, _ruta FROM found",
+    "p1_history": _STATES + "SELECT run_id, _ruta FROM found",
     "p1_work_size": _STATES + "SELECT o.run_id, o.pais_idx, count(f._ruta) AS rutas FROM ok o LEFT JOIN found f USING (run_id) GROUP BY 1, 2",
     "p1_plans": """
 WITH r AS (SELECT DISTINCT run_id, pais_idx, started_at, status = 'ok' AS ok FROM index_runs WHERE pais_idx IS NOT NULL AND started_at IS NOT NULL),

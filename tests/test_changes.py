@@ -3,9 +3,9 @@ import random
 
 import pytest
 
-from lexloom.operators.changes import ChangeCapture, Log, plan_history, replay_history
+from lexloom.operators.changes import ChangeCapture, Log, plan_history, replay_history, replay_runs
 
-FEED = Log("corpus", "ruta", "seq", "m", ("u", "b"))
+FEED = Log("corpus", "ruta", ("seq",), "m", ("u", "b"))
 SCHEMA = "corpus string, ruta string, seq bigint, m double, u string, b bigint"
 
 
@@ -44,7 +44,7 @@ def test_runs_with_failures_neither_skip_nor_repeat(spark, tmp_path):
     got = []
     for cut in cuts:
         log = spark.createDataFrame([r for r in rows if r[2] <= cut], SCHEMA)
-        for stage in rng.sample(["planned", "states", "changes"], 2):
+        for stage in rng.sample(["planned", "written"], 2):
 
             def stop(now, stage=stage):
                 if now == stage:
@@ -52,10 +52,10 @@ def test_runs_with_failures_neither_skip_nor_repeat(spark, tmp_path):
 
             before = capture.committed()
             with pytest.raises(Stop):
-                capture.run(log, stop)
+                capture.run(log, stop=stop)
             assert capture.committed() == before
         batch = capture.run(log)
-        found = {(r.part, r.key) for r in spark.read.parquet(str(tmp_path / "cdc" / "changes" / f"batch={batch}")).collect()}
+        found = {(r.part, r.key) for r in spark.read.parquet(str(tmp_path / "cdc" / "batches" / f"batch={batch}")).where("changed").collect()}
         got.append(found)
         assert capture.run(log) is None  # nothing new: no batch
     assert got == model(rows, cuts)
@@ -71,14 +71,51 @@ def test_a_failed_plan_is_replayed_as_it_was(spark, tmp_path):
         raise Stop
 
     with pytest.raises(Stop):
-        capture.run(spark.createDataFrame(rows[:10], SCHEMA), stop)
+        capture.run(spark.createDataFrame(rows[:10], SCHEMA), stop=stop)
     log = spark.createDataFrame(rows, SCHEMA)
-    assert capture.run(log) == 0 and max(capture.committed().values()) == 9  # the plan's range, not the newer rows
-    assert capture.run(log) == 1 and max(capture.committed().values()) == 29
+    assert capture.run(log) == 0 and max(capture.committed().values()) == [9]  # the plan's range, not the newer rows
+    assert capture.run(log) == 1 and max(capture.committed().values()) == [29]
     assert capture.run(spark.createDataFrame([], SCHEMA)) is None
 
 
-def test_history_equals_the_model(spark):
+def test_deliveries_of_one_instant_that_land_after_a_run_are_taken(spark, tmp_path):
+    t = dt.datetime(2024, 5, 1, 12)
+    names, schema = Log("corpus", "ruta", ("at", "seq"), "m", ("u",)), "corpus string, ruta string, at timestamp_ntz, seq bigint, m double, u string"
+    capture, rows = ChangeCapture(spark, str(tmp_path / "cdc"), names), [("es", "a.md", t, 1, 1.0, "x")]
+    taken = []
+    for seq, name in ((2, "b.md"), (3, "c.md"), (None, None)):
+        batch = capture.run(spark.createDataFrame(rows, schema))
+        taken.append({r.key for r in capture.changes().where(f"batch = {batch}").collect()})
+        if name:
+            rows.append(("es", name, t, seq, 1.0, "x"))
+    assert taken == [{"a.md"}, {"b.md"}, {"c.md"}] and capture.run(spark.createDataFrame(rows, schema)) is None
+
+
+def test_ranges_reach_the_scan(spark, tmp_path):
+    t = dt.datetime(2024, 5, 1)
+    names = Log("corpus", "ruta", ("at", "seq"), "m", ("u",))
+    spark.createDataFrame([("es", f"r{k}", t + dt.timedelta(hours=k), k, 1.0, "x") for k in range(50)], "corpus string, ruta string, at timestamp_ntz, seq bigint, m double, u string").write.parquet(str(tmp_path / "log"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    log, capture = spark.read.parquet(str(tmp_path / "log")), ChangeCapture(spark, str(tmp_path / "cdc"), names)
+    part = capture._between(log, {"es": [["2024-05-01 03:00:00.000000", 3], ["2024-05-01 07:00:00.000000"]]})
+    assert sorted(r.seq for r in part.collect()) == [4, 5, 6, 7]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThan(seq,3)" in pushed and "LessThanOrEqual(at," in pushed and "EqualTo(corpus,es)" in pushed
+
+
+def test_a_partition_that_fails_is_taken_again(spark, tmp_path):
+    capture, rows = ChangeCapture(spark, str(tmp_path / "cdc"), FEED), [("es", "a", 1, 1.0, "x", 1), ("fr", "a", 2, 1.0, "x", 1)]
+    assert capture.run(spark.createDataFrame(rows, SCHEMA), failing={"fr"}) == 0
+    assert capture.committed() == {"es": [1]}
+    rows += [("fr", "b", 3, 1.0, "x", 1), ("fr", "a", 4, 0.5, "y", 1)]
+    assert capture.run(spark.createDataFrame(rows, SCHEMA)) == 1
+    assert {(r.batch, r.part, r.key, r.u) for r in capture.changes().collect()} == {(0, "es", "a", "x"), (1, "fr", "a", "x"), (1, "fr", "b", "x")}
+    assert [p[:2] for p in capture.plans()] == [(0, "es"), (0, "fr"), (1, "fr")]
+
+
+def test_history_equals_the_model(spark, tmp_path):
     t = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * k)
     rows = made(150, 3) + [("es", "late", 3, None, None, None), ("es", "late", 20, None, None, None)]
     runs = [(k, c, t(10 * k + 3), s) for k, (c, s) in enumerate([("es", "ok"), ("fr", "failed"), ("es", "aborted"), ("es", "ok"), ("fr", "ok"), ("es", "timeout"), ("fr", "ok"), ("de", "ok"), ("es", "ok"), ("de", None)])]
@@ -94,4 +131,6 @@ def test_history_equals_the_model(spark):
         for r, found in zip(ok, model([x for x in rows if x[0] == corpus], [10 * r[0] + 3 for r in ok])):
             want |= {(r[0], k) for _, k in found}
     assert got == want
+    assert {tuple(r) for r in replay_runs(log, plans, FEED, str(tmp_path / "cdc")).collect()} == want
+    assert replay_runs(log.limit(0), plans, FEED, str(tmp_path / "none")).count() == 0 and replay_runs(log, plans.limit(0), FEED, str(tmp_path / "no")).count() == 0
     assert replay_history(log.limit(0), plans, FEED).count() == 0 and replay_history(log, plans.limit(0), FEED).count() == 0
