@@ -75,6 +75,11 @@ def replay_history(log: DataFrame, plans: DataFrame, names: Log) -> DataFrame:
     return known.where((F.col("nth") == 1) | ~F.col("now").eqNullSafe(F.col("was"))).select("run_id", "key", "offset")
 
 
+def _quoted(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def _after(a: list, b: list) -> bool:
     """Whether offset ``a`` is beyond ``b``; one of fewer values is beyond all that begin with it."""
     for x, y in zip(a, b):
@@ -170,37 +175,36 @@ class ChangeCapture:
         types = dict(log.dtypes)
         return [(c, types[c]) for c in self.names.offsets]
 
-    def _beyond(self, log: DataFrame, value: list, over: bool) -> Column:
+    def _beyond(self, types: list[tuple[str, str]], value: list, over: bool) -> str:
         """Offsets greater than ``value``, or those up to it: on the stored columns with literals, so that the scan gets them."""
-        cols = [(F.col(c), F.lit(v).cast(t)) for (c, t), v in zip(self._offset_types(log), value)]
+        more, equal = (">", ">=") if over else ("<", "<=")
+        cols = [(f"`{c}`", v if isinstance(v, int) else f"CAST({_quoted(v)} AS {t})") for (c, t), v in zip(types, value)]
         strict = None
         for c, v in reversed(cols):
             if strict is None:
-                strict = c > v if over else c <= v
+                strict = f"{c} {more if over else equal} {v}"
             else:
-                strict = (c > v) | ((c == v) & strict) if over else (c < v) | ((c == v) & strict)
-        first, v = cols[0]
-        return strict & ((first >= v) if over else (first <= v))
+                strict = f"({c} {more} {v} OR ({c} = {v} AND {strict}))"
+        return f"{strict} AND {cols[0][0]} {equal} {cols[0][1]}"
 
     def _between(self, log: DataFrame, ranges: dict[str, list]) -> DataFrame:
         """The rows of the log within the ranges: one condition of literals per partition."""
-        part = F.col(self.names.partition)
-        own = []
-        for p, (low, high) in ranges.items():
-            own.append((part == p) & self._beyond(log, high, False) & (self._beyond(log, low, True) if low is not None else F.lit(True)))
-        return log.where(self._present() & reduce(lambda a, b: a | b, own))
+        types, n = self._offset_types(log), self.names
+        own = [" AND ".join([f"`{n.partition}` = {_quoted(p)}", self._beyond(types, high, False), *([self._beyond(types, low, True)] if low is not None else [])]) for p, (low, high) in ranges.items()]
+        there = " AND ".join(f"`{c}` IS NOT NULL" for c in (n.partition, n.key, *n.offsets))
+        return log.where(f"{there} AND ({' OR '.join(f'({x})' for x in own)})")
 
     def _rows(self, log: DataFrame) -> DataFrame:
         n = self.names
-        return log.select(F.col(n.partition).cast("string").alias("part"), F.col(n.key).alias("key"), F.struct(*n.offsets).alias("offset"), F.struct(n.version, *n.tracked).alias("state"))
+        return log.selectExpr(f"CAST(`{n.partition}` AS string) AS part", f"`{n.key}` AS key", f"struct({', '.join(f'`{c}`' for c in n.offsets)}) AS offset", f"struct({', '.join(f'`{c}`' for c in (n.version, *n.tracked))}) AS state")
 
-    def _states(self) -> DataFrame | None:
+    def _states(self, now: DataFrame) -> DataFrame | None:
         """The states left by the committed batches since the last one that holds all."""
         last = self._last("commits")
         if last < 0:
             return None
         base = self._read("commits", last)["base"]
-        return self.spark.read.schema(self._schema).parquet(*[f"{self.root}/batches/batch={b}" for b in range(base, last + 1)])
+        return self.spark.read.schema(now.select("part", "key", "state").schema).parquet(*[f"{self.root}/batches/batch={b}" for b in range(base, last + 1)])
 
     def run(self, log: DataFrame, until: dict[str, list] | None = None, failing: frozenset[str] | set[str] = frozenset(), stop: Callable[[str], None] = lambda stage: None) -> int | None:
         """One batch; its number, or None if there is nothing new.
@@ -214,20 +218,18 @@ class ChangeCapture:
         stop("planned")
         ranges = {p: r for p, r in plan["ranges"].items() if p not in failing}
         done = {p: high for p, (_, high) in ranges.items()}
-        now = self._rows(self._between(log, ranges) if ranges else log.limit(0)).groupBy("part", "key").agg(F.max("state").alias("state"), F.max("offset").alias("offset"))
+        now = self._rows(self._between(log, ranges) if ranges else log.limit(0)).groupBy("part", "key").agg(F.expr("max(state) AS state"), F.expr("max(offset) AS offset"))
         compact = batch > 0 and batch % self.compact_every == 0
-        self._schema = now.select("part", "key", "state", "offset", F.lit(True).alias("changed")).schema
-        old = self._states()
+        old = self._states(now)
         if old is None:
-            merged = now.withColumn("was", F.lit(None).cast(now.schema["state"].dataType)).withColumn("known", F.lit(False))
+            merged = now.selectExpr("*", "state AS latest", "TRUE AS changed")
         else:
             met = old if compact else old.join(now.select("part", "key"), ["part", "key"], "left_semi")
-            before = met.groupBy("part", "key").agg(F.max("state").alias("was"))
-            merged = now.join(before.withColumn("known", F.lit(True)), ["part", "key"], "full" if compact else "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        latest = F.when(F.col("state").isNull() | (F.col("was") > F.col("state")), F.col("was")).otherwise(F.col("state"))
-        value = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in self.names.tracked])
-        changed = F.col("offset").isNotNull() & (~F.col("known") | ~value("latest").eqNullSafe(value("was")))
-        merged = merged.withColumn("latest", latest).select("part", "key", F.col("latest").alias("state"), "offset", changed.alias("changed"))
+            before = met.groupBy("part", "key").agg(F.expr("max(state) AS was"))
+            same = " AND ".join(f"latest.`{x}` <=> was.`{x}`" for x in self.names.tracked)
+            merged = now.join(before, ["part", "key"], "full" if compact else "left").selectExpr("*", "CASE WHEN state IS NULL OR was > state THEN was ELSE state END AS latest")
+            merged = merged.selectExpr("*", f"offset IS NOT NULL AND (was IS NULL OR NOT ({same})) AS changed")
+        merged = merged.selectExpr("part", "key", "latest AS state", "offset", "changed")
         merged.write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch}")
         stop("written")
         base = batch if compact or old is None else self._read("commits", batch - 1)["base"]
