@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +53,31 @@ def test_trigger_lets_every_kind_of_markup_through(spark):
     assert all(clean(t)[1] for t in texts)
     got = spark.createDataFrame([(t,) for t in texts], "t string").where(F.size(clean_column("t")["marcas"]) > 0)
     assert sorted(r.t for r in got.collect()) == sorted(texts)
+
+
+UNCLOSED = {
+    "Ley 1.\n<!-- nota\nArtículo 1. Uno.\nArtículo 2. Dos.": "Ley 1.\n nota\nArtículo 1. Uno.\nArtículo 2. Dos.",
+    "Inicio <script>Artículo 1 <b>uno</b>": "Inicio\nArtículo 1 uno", "a\n```\n**b** c\nd": "a\nb c\nd", "a <pre>\n**b** c": "a \nb c".replace(" \n", "\n\n"), "\\begin{verbatim}\n\\textbf{b} c": "b c", "<h2>Título\nLey": "Título\nLey",
+}
+NESTED = {
+    "[[a|[[b|c]]]] {{x|{{y|z}}}}": "c [z]", "\\textbf{a \\emph{b {\\it c} \\texttt{d}} e} f": "a b c d e f", "\\textbf{a {b} c} d": "a {b} c d", "\\textbf{" * 30 + "x" + "}" * 30: "x", "**a _b ~~c~~ d_ e** f": "a b c d e f", "[[A|" * 20 + "x" + "]]" * 20: "x",
+}
+
+
+@pytest.mark.parametrize("text", UNCLOSED | NESTED)
+def test_unclosed_markup_costs_its_sign_and_nested_markup_goes_whole(text):
+    assert clean(text)[0] == (UNCLOSED | NESTED)[text]
+
+
+def test_no_word_is_lost_behind_an_opener():
+    words = " ".join(f"palabra{k}" for k in range(300))
+    for opener in ("<!--", "<script>", "<pre>", "<style>", "```\n", "~~~\n", "<nowiki>", "\\begin{verbatim}", "<code>", "<h1>", "\\[", "\\(", "$$", "[[", "{{", "**", "_", "''", "\\textbf{", "{\\bf ", "`"):
+        assert re.findall(r"palabra\d+", clean(f"antes\n{opener}{words}")[0]) == words.split(), opener
+
+
+@pytest.mark.parametrize("unit", ["<", "<!--", "<script>", "<h1>", "<sup>", "&lt;b", "\\", "\\textbf{", "\\section[", "\\[", "$_", "$$ a", "[[a", "{{a", "[[a ]]", "[a", "](", "[http://a ", "''a ", "''a b'c ", "== a", "# #", "*a ", "_a ", "_a", "__A", "a_", "~~a ", "`a ", "```\n", "- ", "| a", "<b a="])
+def test_time_grows_with_the_length(unit):
+    began = time.process_time()
+    clean((unit * 200_000)[:200_000])
+    clean(("x " + unit) * (200_000 // (len(unit) + 2)))
+    assert time.process_time() - began < 8  # by the square it would be minutes
