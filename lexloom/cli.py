@@ -11,7 +11,6 @@ from collections import defaultdict
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexloom.functions import rules as R
 from lexloom.functions.scan import self_test
@@ -50,9 +49,8 @@ def run_index(spark: SparkSession, args: argparse.Namespace) -> int:
     entries, audit, meta = load(spark, path)
     old = (meta.get("seguridad") or {}).get("patrones") if isinstance(meta.get("seguridad"), dict) else None
     force = args.force_all or (bool(meta) and old != R.fingerprint())
-    files = corpus.read_listed(spark, repo).select("rel", corpus.text_of().alias("text"), F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("mtime", F.lit(0.0)).alias("mtime"))
-    done = I.refresh(files, entries, audit, country, force=force, remove_orphans=args.remove_orphans, force_unsafe=args.force_index_unsafe)
-    print(f"nuevos {done.new}, modificados {done.modified}, huérfanos {done.orphaned}")
+    done = I.refresh(corpus.list_files(spark, repo), entries, audit, country, load=lambda df: corpus.load_files(df, repo), force=force, remove_orphans=args.remove_orphans, force_unsafe=args.force_index_unsafe)
+    print(f"nuevos {done.new}, modificados {done.modified}, huérfanos {done.orphaned}, leídos {done.read}, errores {done.failed}")
     if not done.changed:
         return 0
     kinds: dict[str, dict[str, list[str]]] = {k: {} for k in KINDS}

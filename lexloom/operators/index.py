@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import rules as R
@@ -95,20 +96,35 @@ class Refresh:
     modified: int
     orphaned: int
     changed: bool
+    failed: int = 0  # files that could not be looked at or read; their entries stay as they are
+    read: int = 0  # files whose contents were read
+    letters: int = 0  # code points read
 
 
-def refresh(disk: DataFrame, index: DataFrame, audit: DataFrame, country: str, *, force: bool = False, remove_orphans: bool = False, force_unsafe: bool = False) -> Refresh:
-    """One incremental run: ``disk`` has rel, text, length, mtime; ``index`` the entries so far; ``audit`` the rows so far.
+def refresh(disk: DataFrame, index: DataFrame, audit: DataFrame, country: str, *, load: Callable[[DataFrame], DataFrame] | None = None, force: bool = False, remove_orphans: bool = False, force_unsafe: bool = False) -> Refresh:
+    """One incremental run: ``disk`` has rel, length, mtime; ``index`` the entries so far; ``audit`` the rows so far.
+
+    What is on disk is compared by its sizes and times alone; ``load`` adds the texts of the new and modified
+    files (without it ``disk`` has them). Files with an ``error`` or without a text are counted and skipped: an
+    entry that is there stays as it is. What was read is counted on its way by an observation.
 
     Hostile bodies are quarantined (or recorded as forced), warnings and metadata findings recorded. Kept
     entries keep their order; new ones come after them in path order.
     """
-    new, modified = cut(new_files(disk, index)), cut(modified_files(disk, index, force))
+    disk = disk if "error" in disk.columns else disk.withColumn("error", F.lit(None).cast("string"))
+    if load is not None:
+        disk = cut(disk)  # one listing for all comparisons; texts are not in it
+    sound = disk.where("error IS NULL")
+    listed = new_files(sound, index).withColumn("_pass", F.lit(1)).unionByName(modified_files(sound, index, force).withColumn("_pass", F.lit(2)))
+    seen = Observation()
+    loaded = cut((listed if load is None else load(listed)).observe(seen, F.count("*").alias("read"), F.count_if(F.col("text").isNull()).alias("failed"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("letters")))
+    pending = loaded.where("text IS NOT NULL").drop("error")
     gone = orphans(disk, index)
-    n_new, n_modified, n_gone = new.count(), modified.count(), gone.count()
+    counts = {r[0]: r[1] for r in pending.groupBy("_pass").count().collect()}
+    n_new, n_modified, n_gone = counts.get(1, 0), counts.get(2, 0), gone.count()
+    facts = {"failed": disk.where("error IS NOT NULL").count() + seen.get["failed"], "read": seen.get["read"], "letters": seen.get["letters"]}
     if not (n_new or n_modified or n_gone):
-        return Refresh(index, audit, 0, 0, 0, False)
-    pending = new.withColumn("_pass", F.lit(1)).unionByName(modified.withColumn("_pass", F.lit(2)))
+        return Refresh(index, audit, 0, 0, 0, False, **facts)
     passes = pending.select(F.col("rel").alias("_ruta"), "_pass")
     built = scan_body(build_entries(pending, country), "_text", "_body", detail=False)
     built = cut(scan_metadata(built, list(SERVED), "_meta").drop("_text").join(passes, "_ruta"))
@@ -122,7 +138,9 @@ def refresh(disk: DataFrame, index: DataFrame, audit: DataFrame, country: str, *
     owners = kept.select(F.col("id").alias("raw_id"), "_ruta", F.lit(0).alias("_priority"))
     own_before = index.select(F.col("id").alias("raw_id"), "_ruta", F.lit(True).alias("_own"))
     claims = accepted.join(own_before, ["raw_id", "_ruta"], "left").select("raw_id", "_ruta", F.when(F.col("_own"), 0).otherwise(F.col("_pass")).alias("_priority"))
-    ids = resolve_ids(owners.unionByName(claims), priority="_priority").select("id", "collided", "_ruta")
+    # Only owners of an id that a pending file claims, or could be given, take part.
+    asked = claims.select("raw_id").union(claims.select(derived_id(F.col("raw_id"), F.col("_ruta")))).distinct()
+    ids = resolve_ids(owners.join(asked, "raw_id", "left_semi").unionByName(claims), priority="_priority").select("id", "collided", "_ruta")
     top = index.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_top"))
     known = index.select("_ruta", "ord").dropDuplicates(["_ruta"])
     fresh = accepted.join(ids, "_ruta").join(known, "_ruta", "left")
@@ -142,7 +160,7 @@ def refresh(disk: DataFrame, index: DataFrame, audit: DataFrame, country: str, *
         rows = part if rows is None else rows.unionByName(part)
     clash = fresh.where("collided").select(F.lit("duplicados").alias("kind"), F.col("_ruta").alias("file"), F.array("raw_id").alias("labels"))
     merged = merge_audit(audit, rows.unionByName(clash), disk, pending)
-    return Refresh(cut(entries), cut(merged), n_new, n_modified, n_gone, True)
+    return Refresh(cut(entries), cut(merged), n_new, n_modified, n_gone, True, **facts)
 
 
 def staleness(meta: DataFrame, fingerprint: str) -> DataFrame:

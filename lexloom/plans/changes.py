@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.changes import Log, plan_history, replay_history, replay_runs
-from lexloom.session import shared_dir, table
+from lexloom.session import table, work_folder
 
 FEED = Log("pais_idx", "_ruta", ("arrived_at", "feed_seq"), "_mtime", ("ultima_actualizacion", "_bytes"))
 
@@ -19,7 +17,7 @@ def plans(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The work list of every successful run, each run driven through the change capture."""
-    return replay_runs(table(spark, d, "index_feed"), plans(spark, d), FEED, f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}").select("run_id", F.col("key").alias("_ruta"))
+    return replay_runs(table(spark, d, "index_feed"), plans(spark, d), FEED, work_folder(spark, "capture")).select("run_id", F.col("key").alias("_ruta"))
 
 
 def p1_history(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,8 @@ from lexloom.functions import rules as R
 from lexloom.functions import scan, text
 from lexloom.operators import index as I
 from lexloom.plans import search as S
-from lexloom.session import table
+from lexloom.session import table, work_folder
+from lexloom.sources import store
 from lexloom.sources.corpus import path_allowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,19 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "index_entries").distinct()
 
 
+_published: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The index as published for searching: built once for a session and folder, read from then on."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _published:
+        root = work_folder(spark, "index")
+        store.publish(S.stored(table(spark, d, "index_entries")), root)
+        _published[key] = root
+    return store.open_index(spark, _published[key])
+
+
 def laws(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ley_completa").withColumnRenamed("pais", "pais_idx").distinct()
 
@@ -78,53 +92,53 @@ def has_sql(c: str, q: str) -> str:
 
 @query(page_sql(has_sql("titulo", "decreto")))
 def search_title(spark, d):
-    return S.search(entries(spark, d), text="decreto")
+    return S.search(indexed(spark, d), text="decreto")
 
 
 @query(page_sql(has_sql("titulo", "LICENÇA em vigor")))
 def search_title_folded(spark, d):
-    return S.search(entries(spark, d), text="LICENÇA em vigor")
+    return S.search(indexed(spark, d), text="LICENÇA em vigor")
 
 
 @query(page_sql(f"pais_idx = 'es' AND starts_with(coalesce(fecha_publicacion, ''), '20') AND {has_sql('estado', 'in_force')} AND {has_sql('rango', 'ley')} AND {has_sql('titulo', 'sobre')}"))
 def search_filters_all(spark, d):
-    return S.search(entries(spark, d), text="sobre", country="es", year="20", status="In_Force", rank="LEY")
+    return S.search(indexed(spark, d), text="sobre", country="es", year="20", status="In_Force", rank="LEY")
 
 
 @query(page_sql("starts_with(coalesce(fecha_publicacion, ''), '2001')", 100))
 def search_year_prefix(spark, d):
-    return S.search(entries(spark, d), year=" 2001 ", limit=100)
+    return S.search(indexed(spark, d), year=" 2001 ", limit=100)
 
 
 @query(page_sql("(coalesce(fecha_publicacion, '') = '' OR fecha_publicacion >= '1999-06') AND (coalesce(fecha_publicacion, '') = '' OR fecha_publicacion <= '2003')", 100))
 def search_date_range(spark, d):
-    return S.search(entries(spark, d), since="1999-06", until="2003", limit=100)
+    return S.search(indexed(spark, d), since="1999-06", until="2003", limit=100)
 
 
 @query(page_sql(has_sql("estado", "repealed"), 50))
 def search_status_substring(spark, d):
-    return S.search(entries(spark, d), status="repealed", limit=50)
+    return S.search(indexed(spark, d), status="repealed", limit=50)
 
 
 @query(page_sql(has_sql("jurisdiccion", "a") + " AND pais_idx = 'ch'", 50))
 def search_jurisdiction(spark, d):
-    return S.search(entries(spark, d), jurisdiction="a", country="ch", limit=50)
+    return S.search(indexed(spark, d), jurisdiction="a", country="ch", limit=50)
 
 
 @query(page_sql("pais_idx = 'de'", 10, 15))
 def search_page_offset(spark, d):
-    return S.search(entries(spark, d), country="de", limit=10, offset=15)
+    return S.search(indexed(spark, d), country="de", limit=10, offset=15)
 
 
 @query(page_sql("TRUE", 100))
 def search_limit_clamp(spark, d):
-    return S.search(entries(spark, d), limit=100_000, offset=-5)
+    return S.search(indexed(spark, d), limit=100_000, offset=-5)
 
 
 @query(f"SELECT id, {', '.join(f"{fold_sql(f"coalesce({c}, '')")} AS {c}_norm" for c in S.NORMED)} FROM {IDX}")
 def index_norms(spark, d):
     """The stored normal forms of every entry."""
-    return S.with_norms(entries(spark, d)).select("id", *[f"{c}_norm" for c in S.NORMED])
+    return indexed(spark, d).select("id", *[f"{c}_norm" for c in S.NORMED])
 
 
 # ---- counts

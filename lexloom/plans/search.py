@@ -1,7 +1,8 @@
 """The six parameterised queries over index tables, as DataFrames.
 
 ``index`` has the columns of an entry with pais_idx, corpus_ord, ord; where it also holds stored
-normal forms (titulo_norm, rango_norm, estado_norm, jurisdiccion_norm) those are used.
+normal forms (titulo_norm, rango_norm, estado_norm, jurisdiccion_norm) or stored values as served
+(titulo_served and so on) those are used, and a search is a scan without any Python.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ def with_norms(index: DataFrame) -> DataFrame:
     return index.withColumns({f"{c}_norm": fold(F.coalesce(F.col(c), F.lit(""))) for c in NORMED})
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """What a published index holds: each entry once, its normal forms, its values as served, in index order."""
+    once = with_norms(index.distinct())
+    served = {f"{c}_served": sanitize_metadata(F.coalesce(F.col("pais_idx" if c == "pais" else c), F.lit("")), n) for c, n in SUMMARY.items()}
+    return once.withColumns(served).repartitionByRange("corpus_ord", "ord").sortWithinPartitions("corpus_ord", "ord")
+
+
 def _norm(index: DataFrame, c: str) -> Column:
     return F.col(f"{c}_norm") if f"{c}_norm" in index.columns else fold(F.coalesce(F.col(c), F.lit("")))
 
@@ -39,6 +47,8 @@ def size_of(c: str = "_bytes") -> Column:
 
 def summary(rows: DataFrame) -> DataFrame:
     """The served columns of an entry, each made safe and cut; the country is the index's own."""
+    if all(f"{c}_served" in rows.columns for c in SUMMARY):
+        return rows.select(*[F.col(f"{c}_served").alias(c) for c in SUMMARY], size_of().alias("bytes"))
     source = rows.withColumn("pais", F.col("pais_idx"))
     return source.select(*[sanitize_metadata(F.coalesce(F.col(c), F.lit("")), n).alias(c) for c, n in SUMMARY.items()], size_of().alias("bytes"))
 

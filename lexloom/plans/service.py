@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from lexloom.functions.articles import MAX_CONTENT
 from lexloom.functions.scan import sanitize_metadata
 from lexloom.functions.text import body
 from lexloom.plans import search as S
-from lexloom.sources.corpus import path_allowed
+from lexloom.sources.corpus import load_files, path_allowed
 
 # Texts of errors.
 NO_INDEX = "No hay índices disponibles."
@@ -36,10 +37,12 @@ class Failure:
 
 
 class Service:
-    """Queries over an index and, for texts, a corpus with columns pais_idx, _ruta, text."""
+    """Queries over an index and, for texts, a corpus: a table with columns pais_idx, _ruta, text (best
+    partitioned by country and sorted by path), or the folder of files of each country.
+    """
 
-    def __init__(self, index: DataFrame | None, corpus: DataFrame | None = None, config: Config | None = None) -> None:
-        self.index = S.with_norms(index) if index is not None else None
+    def __init__(self, index: DataFrame | None, corpus: DataFrame | Mapping[str, str] | None = None, config: Config | None = None) -> None:
+        self.index = index if index is None or "titulo_norm" in index.columns else S.with_norms(index)
         self.corpus, self.config = corpus, config or Config()
         self._codes: list[str] | None = None
 
@@ -78,9 +81,15 @@ class Service:
     def _with_text(self, rows: DataFrame) -> DataFrame:
         if self.corpus is None:
             return rows.withColumn("texto", F.lit(""))
-        texts = self.corpus.select("pais_idx", "_ruta", F.col("text").alias("_t"))
+        at = rows.select("pais_idx", "_ruta").first()  # one law: its country and path are looked up as literals
+        if isinstance(self.corpus, Mapping):
+            folder = self.corpus.get(at.pais_idx)
+            one = rows.sparkSession.createDataFrame([(at._ruta,)], "rel string")
+            texts = load_files(one, folder).select(F.col("rel").alias("_ruta"), F.col("text").alias("_t")) if folder else one.select(F.col("rel").alias("_ruta"), F.lit("").alias("_t"))
+        else:
+            texts = self.corpus.where((F.col("pais_idx") == at.pais_idx) & (F.col("_ruta") == at._ruta)).select("_ruta", F.col("text").alias("_t")).limit(1)
         allowed = F.when(path_allowed(F.col("_ruta")), body(F.col("_t")))
-        return rows.join(texts, ["pais_idx", "_ruta"], "left").withColumn("texto", F.coalesce(allowed, F.lit(""))).drop("_t")
+        return rows.join(texts, "_ruta", "left").withColumn("texto", F.coalesce(allowed, F.lit(""))).drop("_t")
 
     def obtener_ley(self, id_ley: str, pais: str = "", solo_metadata: bool = False, max_chars: int | None = None) -> DataFrame | Failure:
         rows = self._law(id_ley, pais)

@@ -35,14 +35,49 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return files.select(rel.alias("rel"), "content", "length", F.unix_micros("modificationTime").alias("__us")).select("rel", "content", "length", (F.col("__us") / 1e6).alias("mtime")).where(is_document(F.col("rel")))
 
 
-def read_listed(spark: SparkSession, root: str, slices: int | None = None) -> DataFrame:
-    """As ``read_corpus`` over a folder all executors mount, names with ``_`` and ``.`` included.
+_STATS = "rel string, length bigint, mtime double, error string"
 
-    The driver lists names only (relative paths); contents are read by the executors.
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(rel, length, mtime, error) of every document under a folder all executors mount, by stat alone.
+
+    Names with ``_`` and ``.`` are included. The driver lists the top of the folder only; executors walk what is
+    below. Links that lead out of the corpus and whatever is no regular file are no documents; a
+    document that cannot be looked at has ``error`` set and no size.
+    """
+    base = os.path.realpath(root)
+    tops = spark.createDataFrame([(n,) for n in sorted(os.listdir(base))], "top string")
+
+    def walk(batches):
+        import pandas as pd
+
+        def stat(rel: str) -> tuple | None:
+            try:
+                found = os.stat(resolve(base, rel))
+            except ValueError:
+                return None
+            except OSError as e:
+                return rel, None, None, type(e).__name__
+            return rel, found.st_size, found.st_mtime, None
+
+        for batch in batches:
+            for top in batch["top"]:
+                whole = os.path.join(base, top)
+                below = os.walk(whole) if os.path.isdir(whole) and not os.path.islink(whole) else [(base, [], [top])]
+                for folder, _, names in below:
+                    rels = [os.path.relpath(os.path.join(folder, n), base).replace(os.sep, "/") for n in names if n.endswith(".md")]
+                    yield pd.DataFrame([r for r in map(stat, rels) if r], columns=["rel", "length", "mtime", "error"]).astype({"length": "Int64", "mtime": "float64"})
+
+    spread = tops.repartition(max(1, min(tops.count(), 4 * spark.sparkContext.defaultParallelism)), "top")
+    return spread.mapInPandas(walk, _STATS).where(is_document(F.col("rel")))
+
+
+def load_files(listed: DataFrame, root: str) -> DataFrame:
+    """``listed`` (any columns with ``rel``) with ``text`` and ``error``: contents are read on the executors, guarded.
+
+    A file that cannot be read costs that file: null text, ``error`` set.
     """
-    base = Path(root)
-    names = [p.relative_to(base).as_posix() for p in base.rglob("*.md")]
-    paths = spark.createDataFrame([(n,) for n in names], "rel string").where(is_document(F.col("rel")))
+    base = os.path.realpath(root)
 
     def load(batches):
         import pandas as pd
@@ -51,18 +86,25 @@ def read_listed(spark: SparkSession, root: str, slices: int | None = None) -> Da
             rows = []
             for rel in batch["rel"]:
                 try:
-                    stat = os.stat(base / rel)
-                    rows.append((rel, (base / rel).read_bytes(), stat.st_size, stat.st_mtime))
-                except OSError:  # one bad file costs that file
-                    rows.append((rel, None, None, None))
-            yield pd.DataFrame(rows, columns=["rel", "content", "length", "mtime"])
+                    with open(resolve(base, rel), "rb") as f:
+                        rows.append((rel, f.read(), None))
+                except (OSError, ValueError) as e:
+                    rows.append((rel, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["rel", "content", "error"])
+
+    rels = listed.select("rel").repartition("rel")
+    found = rels.mapInPandas(load, "rel string, content binary, error string").select("rel", decode(F.col("content")).alias("text"), "error")
+    return listed.drop("text", "error").join(found, "rel")
+
 
-    return paths.repartition(slices or spark.sparkContext.defaultParallelism).mapInPandas(load, "rel string, content binary, length bigint, mtime double")
+def read_listed(spark: SparkSession, root: str) -> DataFrame:
+    """(rel, text, length, mtime, error) of every document, names with ``_`` and ``.`` included."""
+    return load_files(list_files(spark, root), root)
 
 
 def text_of(content: str = "content") -> Column:
-    """The decoded text of a file; '' if it could not be read."""
-    return F.coalesce(decode(F.col(content)), F.lit(""))
+    """The decoded text of a file; null if it could not be read."""
+    return decode(F.col(content))
 
 
 def path_allowed(path: Column) -> Column:

@@ -5,10 +5,16 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.sources import corpus, json_index
+from lexloom.operators import index as I
+from lexloom.plans.service import Service
+from lexloom.sources import corpus, json_index, store
 from lexloom.streaming.ingest import file_stream, ingest
 
 
+EMPTY_INDEX = "id string, ord bigint, " + ", ".join(f"{c} string" for c in I.SERVED) + ", _archivo string, _ruta string, _bytes bigint, _mtime double"
+EMPTY_AUDIT = "kind string, file string, labels array<string>"
+
+
 def write(base, rel, data):
     path = base / rel
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -22,6 +28,7 @@ def test_corpus(spark, tmp_path):
     assert {r.rel for r in corpus.read_corpus(spark, str(tmp_path)).collect()} == {"a.md", "b/c.md"}
     listed = {r.rel: r for r in corpus.read_listed(spark, str(tmp_path)).collect()}
     assert set(listed) == {"a.md", "b/c.md", "_u/z.md", "b/.h.md"} and listed["a.md"].length == 23
+    assert listed["b/c.md"].text == "---\ntitulo: x\n---\nhola" and listed["b/c.md"].error is None
     assert corpus.read_corpus(spark, str(tmp_path)).select(corpus.text_of()).first()[0] == "---\ntitulo: x\n---\nhola"
     one = corpus.read_corpus(spark, str(tmp_path)).where("rel = 'a.md'").first()
     assert abs(one.mtime - os.stat(tmp_path / "a.md").st_mtime) < 0.01
@@ -43,6 +50,73 @@ def test_path_guard(spark, tmp_path):
     assert corpus.resolve(str(tmp_path / "base"), "test/GONE.md").name == "GONE.md"
 
 
+def test_listing_keeps_to_the_corpus(spark, tmp_path):
+    base = tmp_path / "base"
+    write(base, "a/x.md", "uno")
+    write(base, "t.md", "dos")
+    write(tmp_path, "secret.md", "SECRET")
+    (base / "a" / "dir.md").mkdir()
+    os.symlink(tmp_path / "secret.md", base / "a" / "y.md")
+    os.symlink(tmp_path / "secret.md", base / "top.md")
+    os.symlink(tmp_path, base / "out")
+    os.symlink(base / "t.md", base / "a" / "inside.md")
+    os.symlink(base / "gone", base / "broken.md")
+    rows = {r.rel: r for r in corpus.list_files(spark, str(base)).collect()}
+    assert set(rows) == {"a/x.md", "t.md", "a/inside.md", "broken.md"} and rows["broken.md"].error == "FileNotFoundError" and rows["t.md"].length == 3
+    asked = spark.createDataFrame([("a/x.md",), ("a/y.md",), ("../secret.md",), ("a/dir.md",), ("none.md",)], "rel string")
+    read = {r.rel: (r.text, r.error) for r in corpus.load_files(asked, str(base)).collect()}
+    assert read == {"a/x.md": ("uno", None), "a/y.md": (None, "ValueError"), "../secret.md": (None, "ValueError"), "a/dir.md": (None, "ValueError"), "none.md": (None, "FileNotFoundError")}
+
+
+def test_refresh_reads_what_is_new_and_keeps_what_cannot_be_read(spark, tmp_path):
+    for k in range(5):
+        write(tmp_path, f"p/l{k}.md", f"---\ntitulo: Ley {k}\nidentificador: L{k}\n---\ntexto")
+    load = lambda df: corpus.load_files(df, str(tmp_path))
+    run = lambda index, audit, **more: I.refresh(corpus.list_files(spark, str(tmp_path)), index, audit, "es", load=load, **more)
+    first = run(spark.createDataFrame([], EMPTY_INDEX), spark.createDataFrame([], EMPTY_AUDIT))
+    assert (first.new, first.read, first.failed) == (5, 5, 0) and first.letters > 100
+    same = run(first.entries, first.audit)
+    assert not same.changed and (same.read, same.failed) == (0, 0)
+    write(tmp_path, "p/l1.md", "---\ntitulo: Ley uno\nidentificador: L1\n---\ntexto nuevo")
+    (tmp_path / "p" / "l2.md").unlink()
+    os.symlink(tmp_path / "nowhere", tmp_path / "p" / "l2.md")  # there, but not to be read
+    again = run(first.entries, first.audit, force=False, remove_orphans=True)
+    got = {r.id: r.titulo for r in again.entries.collect()}
+    assert (again.read, again.failed, again.modified, again.orphaned) == (1, 1, 1, 0) and got == {"L0": "Ley 0", "L1": "Ley uno", "L2": "Ley 2", "L3": "Ley 3", "L4": "Ley 4"}
+
+
+def test_one_law_is_one_file(spark, tmp_path):
+    rows = [(f"ES-{k}", 0, k, "es", f"Ley {k}", "src", f"p/l{k}.md", 5) for k in range(3)]
+    index = spark.createDataFrame(rows, "id string, corpus_ord int, ord bigint, pais_idx string, titulo string, fuente string, _ruta string, _bytes bigint")
+    for c in ("rango", "estado", "jurisdiccion", "fecha_publicacion", "ultima_actualizacion", "pais"):
+        index = index.withColumn(c, F.lit(""))
+    write(tmp_path, "p/l1.md", "---\na: b\n---\nArtículo 1. Uno.")  # the others are not even there
+    service = Service(index, {"es": str(tmp_path)})
+    assert "Artículo 1. Uno." in service.obtener_ley("ES-1").first().texto
+    texts = spark.createDataFrame([("es", f"p/l{k}.md", f"texto {k}") for k in range(3)], "pais_idx string, _ruta string, text string")
+    texts.write.partitionBy("pais_idx").parquet(str(tmp_path / "texts"))
+    table = Service(index, spark.read.parquet(str(tmp_path / "texts")))
+    assert "texto 2" in table.obtener_ley("ES-2").first().texto
+    plan = table._with_text(index.where("id = 'ES-2'"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(_ruta,p/l2.md)" in plan and "pais_idx" in plan[plan.index("PartitionFilters") :]
+
+
+def test_published_index_moves_as_a_whole(spark, tmp_path):
+    root = str(tmp_path / "index")
+    assert store.open_index(spark, root) is None
+    df = spark.range(10).withColumn("v", F.lit(1))
+    store.publish(df, root)
+    reader = store.open_index(spark, root)
+    store.publish(df.withColumn("v", F.lit(2)), root)
+    assert reader.agg(F.max("v")).first()[0] == 1 and store.open_index(spark, root).agg(F.min("v")).first()[0] == 2  # the reader ends on its own version
+    with pytest.raises(Exception, match="boom"):
+        store.publish(df.select(F.raise_error(F.lit("boom"))), root)
+    assert store.open_index(spark, root).count() == 10 and store.current(spark, root)["number"] == 1
+    for _ in range(2):
+        store.publish(df, root)
+    assert sum(n.startswith("v0") for n in os.listdir(root)) == 2
+
+
 def test_head_commit(tmp_path):
     assert corpus.head_commit(str(tmp_path / "none")) == ""
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True, text=True).stdout.strip()
