@@ -1,9 +1,10 @@
 """Problem 2: one form for text that looks alike.
 
-A transducer over grapheme clusters. Its mapping (widths, joined signs, canonical
-composition, spaces, hyphens, invisible signs, look-alike letters) is computed once per
-process, checked for conflicts, and compiled into one longest-match pattern; each text is
-rewritten in one pass. Case, accents and line breaks are kept.
+A transducer over grapheme clusters. Its mapping of single signs (widths, letter styles, joined signs,
+canonical composition, spaces, hyphens, look-alike letters) and of clusters (a base with its
+marks) is computed once per process, checked for conflicts as a whole, and compiled into one longest-match
+pattern; each text is rewritten in one pass. Clusters no letter is composed of (marks stacked at will)
+are composed when met. Case, accents and line breaks are kept.
 
 Defined results: null gives null; '' gives ''; ASCII text is returned as it is.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexloom.session import cut
+
 # Letters drawn alike, other script -> Latin.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
@@ -32,15 +35,19 @@ GREEK = {
 # Small letters whose capitals are drawn like Latin ones; folded in comparisons without case only.
 SMALL = {"в": "b", "к": "k", "м": "m", "н": "h", "т": "t"}
 LATIN = {"ɡ": "g", "ɑ": "a"}
+ARMENIAN = {"օ": "o", "Օ": "O", "ս": "u", "Ս": "U", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "Լ": "L"}
+CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B"}
+SCRIPTS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Latin": LATIN, "Armenian": ARMENIAN, "Cherokee": CHEROKEE}
+STYLED = "\U0001d400-\U0001d7ff"  # letters and digits in mathematical styles
 HYPHENS = "\u2010\u2011\ufe63\uff0d"
 INVISIBLE = "\xad\u034f\u061c\u115f\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff"
 MARKS = "\u0300-\u034e\u0350-\u036f\u0483-\u0489\u1160-\u11ff\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f"
 
 
 def _singles() -> dict[str, str]:
-    """Every single code point of the plane 0 that is rewritten, from rules and the letter tables."""
+    """Every single code point that is rewritten, from rules and the letter tables."""
     out: dict[str, str] = {}
-    for code in range(0xA0, 0x10000):
+    for code in (*range(0xA0, 0x10000), *range(0x1D400, 0x1D800)):
         if 0xD800 <= code < 0xE000:
             continue
         c = chr(code)
@@ -53,13 +60,17 @@ def _singles() -> dict[str, str]:
             continue
         elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")):
             out[c] = unicodedata.normalize("NFKC", c)
+        elif unicodedata.decomposition(c).startswith("<font>"):
+            shown = unicodedata.normalize("NFKC", c)
+            if shown.isalnum():
+                out[c] = shown
         elif unicodedata.decomposition(c).startswith("<compat>"):
             shown = unicodedata.normalize("NFKC", c)
             if shown.isalpha() and (len(shown) > 1 or 0x2160 <= code <= 0x217F):
                 out[c] = shown
         elif (composed := unicodedata.normalize("NFC", c)) != c:
             out[c] = composed
-    letters = CYRILLIC | GREEK | LATIN
+    letters = {c: t for table in SCRIPTS.values() for c, t in table.items()}
     for code in range(0x370, 0x2000):  # letters with accents, whose base is drawn alike
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) > 1 and parts[0] in letters:
@@ -73,22 +84,44 @@ def check_conflicts(letters: dict[str, str], name: str) -> None:
     for c, target in letters.items():
         if target in taken:
             raise ValueError(f"{name}: {c} and {taken[target]} both become {target}")
-        if c.isupper() != target.isupper():
+        if c.isupper() != target.isupper() and target.isalpha():
             raise ValueError(f"{name}: {c} changes case")
         taken[target] = c
 
 
+def check_mapping(mapping: dict[str, str]) -> None:
+    """The finished mapping: no plain sign is rewritten, a second pass changes nothing, and two letters of one
+    script that are not one letter written twice never fall together.
+    """
+    taken: dict[tuple[str, str], str] = {}
+    for c, target in mapping.items():
+        if c.isascii():
+            raise ValueError(f"{c} is rewritten")
+        if "".join(mapping.get(x, x) for x in target) != target:
+            raise ValueError(f"{c} becomes {target}, which is rewritten again")
+        if len(c) == 1 and c.isalpha():
+            same = unicodedata.normalize("NFKC", c)
+            script = unicodedata.name(c, "").split(" ")[0]
+            if same != c and same not in mapping:
+                continue  # a width, style or joined form of what it becomes
+            other = taken.setdefault((script, target), same)
+            if other != same and mapping.get(other, other) != mapping.get(same, same):
+                raise ValueError(f"{c} and {other} both become {target}")
+
+
 class Transducer:
     """The compiled mapping. ``apply`` rewrites one text in one pass."""
 
     def __init__(self) -> None:
-        for letters, name in ((CYRILLIC, "Cyrillic"), (GREEK, "Greek"), (LATIN, "Latin")):
+        for name, letters in SCRIPTS.items():
             check_conflicts(letters, name)
         self.single = _singles()
         for c, target in self.single.items():  # a second pass must change nothing
             if any(x in self.single for x in target):
                 self.single[c] = "".join(self.single.get(x, x) for x in target)
-        special = "".join(re.escape(c) for c in sorted(self.single))
+        check_mapping(self.single)
+        self.clusters = self._clusters()
+        special = "".join(re.escape(c) for c in sorted(self.single) if c < "\U00010000") + STYLED
         self.has_cluster = re.compile(f"[{MARKS}{INVISIBLE}]").search
         self.sub_single = re.compile(f"[{special}]").sub
         # Longest match: a base and all the marks and invisible signs that follow it.
@@ -96,7 +129,23 @@ class Transducer:
         self.strip = re.compile(f"[{INVISIBLE}]+").sub
         self.cluster = lru_cache(1 << 16)(self._cluster)
 
+    def _clusters(self) -> dict[str, str]:
+        """Every letter with marks that has a sign of its own, written as a base and its marks, and its form."""
+        out = {}
+        for code in range(0xA0, 0x10000):
+            if not 0xD800 <= code < 0xE000 and len(parts := unicodedata.normalize("NFD", chr(code))) > 1:
+                whole = unicodedata.normalize("NFC", "".join(self.single.get(c, c) for c in parts))
+                out[parts] = "".join(self.single.get(c, c) for c in whole)
+        written: dict[str, str] = {}
+        for parts, form in out.items():
+            shown = "".join(self.single.get(c, c) for c in parts)
+            if written.setdefault(form, shown) != shown and unicodedata.normalize("NFC", written[form]) != unicodedata.normalize("NFC", shown):
+                raise ValueError(f"{parts} and {written[form]} both become {form}")
+        return out
+
     def _cluster(self, text: str) -> str:
+        if (known := self.clusters.get(text)) is not None:
+            return known
         shown = self.strip("", text)
         base = "".join(self.single.get(c, c) for c in shown)
         composed = unicodedata.normalize("NFC", base)
@@ -108,7 +157,7 @@ class Transducer:
         if self.has_cluster(text):
             return self.sub_cluster(lambda m: self.cluster(m.group()), text)
         single = self.single
-        return self.sub_single(lambda m: single[m.group()], text)
+        return self.sub_single(lambda m: single.get(m.group(), m.group()), text)
 
 
 @lru_cache(1)
@@ -151,11 +200,11 @@ def with_form(df: DataFrame, text: str, out: str = "forma") -> DataFrame:
 def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of keys whose texts have one form but differ as stored.
 
-    Only 128-bit digests are shuffled. Rows are first reduced to distinct (key, stored) digests;
+    Only 128-bit digests are shuffled; they are written once, so that each text passes Python once. Rows are first reduced to distinct (key, stored) digests;
     forms with one stored value only, however many rows share it, are dropped before the join,
     so the join meets no pairs of exact copies. Null keys and null texts are in no pair.
     """
-    digests = (
+    digests = cut(
         df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
         .select(F.col(key).alias("k"), F.unhex(F.md5(canonical_column(F.col(text)))).alias("form"), F.unhex(F.md5(F.col(text))).alias("stored"))
         .distinct()
