@@ -9,7 +9,8 @@ gives the shared spans with their offsets in the original text. Of every stretch
 in the record ranked first (least key) is kept, the others are marked for removal.
 
 Defined results: null keys and null texts share nothing; texts shorter than ``min_chars`` share
-nothing; repeated rows of one key count once, spans repeated within one record only do not count.
+nothing; repeated rows of one key count once, spans repeated within one record only do not count. A shared
+passage that one record holds several times counts at each of its places.
 """
 
 from __future__ import annotations
@@ -76,17 +77,13 @@ def _surroundings(min_chars: int):
             keys, texts, shared = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             owner, place, h = units(texts, min_chars)
             wanted = [set(s) for s in shared]
-            rows, met = [], set()
+            places: dict[tuple, list[int]] = {}  # equal surroundings of one text are written once, with all their places
             for o, p, x in zip(owner.tolist(), place.tolist(), h.view(np.int64).tolist()):
                 if x in wanted[o]:
-                    t = texts[o]
-                    left = t[max(0, p - reach) : p]
-                    around = t[max(0, p - reach) : p + unit + reach]
-                    if (o, x, around) not in met:
-                        met.add((o, x, around))
-                        rows.append((x, keys[o], p, len(left), around))
-            cols = list(zip(*rows)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["h", "key", "place", "pre", "around"])
+                    begin = max(0, p - reach)
+                    places.setdefault((x, o, p - begin, texts[o][begin : p + unit + reach]), []).append(p)
+            cols = list(zip(*((x, keys[o], at, pre, around) for (x, o, pre, around), at in places.items()))) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string()))], names=["h", "key", "places", "pre", "around"])
 
     return run
 
@@ -121,7 +118,7 @@ def _compare(min_chars: int):
 
 
 def shared_units(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(h, key, place, pre, around, class): the units met in two or more records, with what surrounds them.
+    """(h, key, places, pre, around, class): the units met in two or more records, with what surrounds them.
 
     ``class`` numbers equal surroundings (a 64-bit digest of text and place in it).
     """
@@ -129,10 +126,24 @@ def shared_units(df: DataFrame, key: str, text: str, min_chars: int) -> DataFram
     digests = rows.mapInArrow(_digests(min_chars), "h bigint, key bigint").repartition("h")
     several = digests.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h")
     shared = digests.join(several, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("hs"))  # bounded by the text's length
-    found = rows.join(shared, "key").mapInArrow(_surroundings(min_chars), "h bigint, key bigint, place int, pre int, around string")
+    found = rows.join(shared, "key").mapInArrow(_surroundings(min_chars), "h bigint, key bigint, places array<int>, pre int, around string")
     return cut(found.withColumn("class", F.xxhash64("around", "pre")).distinct())
 
 
+def _by_number(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(few, many): the units (h) with up to ``CLASSES`` different surroundings, and those with more."""
+    several = found.groupBy("h").agg(F.count_distinct("class").alias("k"))
+    return several.where(F.col("k") <= CLASSES).select("h"), several.where(F.col("k") > CLASSES).select("h")
+
+
+def class_windows(classes: DataFrame, min_chars: int) -> DataFrame:
+    """(h, class, left, window): the digests of all windows of ``min_chars`` points that hold the unit, ``left`` of them before it."""
+    low = F.greatest(F.lit(0), F.lit(min_chars) - (F.length("around") - F.col("pre")))
+    high = F.least(F.col("pre"), F.lit(min_chars - min(UNIT, min_chars)))
+    windows = classes.where((F.length("around") >= min_chars) & (low <= high)).select("h", "class", "around", "pre", F.explode(F.sequence(low, high)).alias("left"))
+    return windows.select("h", "class", "left", F.md5(F.concat(F.col("left").cast("string"), F.lit(":"), F.expr(f"substr(around, pre - left + 1, {min_chars})"))).alias("window"))
+
+
 def class_links(found: DataFrame, min_chars: int) -> DataFrame:
     """(h, ca, cb, left, right): surroundings (equal or not) of one unit that agree over ``min_chars`` points."""
     classes = found.groupBy("h", "class").agg(F.first("around").alias("around"), F.first("pre").alias("pre"), F.count("*").alias("n"))
@@ -141,13 +152,9 @@ def class_links(found: DataFrame, min_chars: int) -> DataFrame:
     )
     # Units with few surroundings: all pairs of those. A unit that stands in many different surroundings (a
     # stock phrase): only surroundings with an equal window of ``min_chars`` points around the unit meet.
-    several = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    few, many = several.where(F.col("k") <= CLASSES).select("h"), several.where(F.col("k") > CLASSES).select("h")
-    light, heavy = classes.join(few, "h", "left_semi"), classes.join(many, "h", "left_semi")
-    low = F.greatest(F.lit(0), F.lit(min_chars) - (F.length("around") - F.col("pre")))
-    high = F.least(F.col("pre"), F.lit(min_chars - min(UNIT, min_chars)))
-    windows = heavy.where((F.length("around") >= min_chars) & (low <= high)).select("h", "class", "around", "pre", F.explode(F.sequence(low, high)).alias("left"))
-    windows = windows.select("h", "class", F.md5(F.concat(F.col("left").cast("string"), F.lit(":"), F.expr(f"substr(around, pre - left + 1, {min_chars})"))).alias("window"))
+    few, many = _by_number(found)
+    light = classes.join(few, "h", "left_semi")
+    windows = class_windows(classes.join(many, "h", "left_semi"), min_chars)
     wa, wb = windows.alias("a"), windows.alias("b")
     met = wa.join(wb, (F.col("a.h") == F.col("b.h")) & (F.col("a.window") == F.col("b.window")) & (F.col("a.class") < F.col("b.class"))).select("a.h", F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).distinct()
     a, b = light.alias("a"), light.alias("b")
@@ -215,13 +222,20 @@ def shared_spans(df: DataFrame, key: str, text: str, min_chars: int) -> DataFram
     one; the other occurrences are to be removed.
     """
     found = shared_units(df, key, text, min_chars)
-    linked = class_links(found, min_chars)
+    few, many = _by_number(found)
+    linked = class_links(found.join(few, "h", "left_semi"), min_chars)
     both = linked.select("h", F.col("ca").alias("class"), F.col("cb").alias("other"), "left", "right").union(
         linked.where("ca <> cb").select("h", F.col("cb").alias("class"), F.col("ca").alias("other"), "left", "right")
     )
     first = found.groupBy("h", F.col("class").alias("other")).agg(F.min("key").alias("first_other"))
     reach = both.join(first, ["h", "other"]).groupBy("h", "class", "left", "right").agg(F.min("first_other").alias("first_other"))
-    pieces = found.join(reach, ["h", "class"]).select(
+    # Units in many surroundings: no pairs of those, but per window the least key that holds it.
+    hot = found.join(many, "h", "left_semi")
+    windows = class_windows(hot.groupBy("h", "class").agg(F.first("around").alias("around"), F.first("pre").alias("pre")), min_chars)
+    ends = hot.groupBy("h", "class").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    least = windows.join(ends, ["h", "class"]).groupBy("h", "window").agg(F.min("lo").alias("first_other"), F.max("hi").alias("last")).where("first_other <> last").drop("last")
+    reach = reach.unionByName(windows.join(least, ["h", "window"]).select("h", "class", "left", (F.lit(min_chars) - F.col("left")).alias("right"), "first_other"))
+    pieces = found.join(reach, ["h", "class"]).withColumn("place", F.explode("places")).select(
         "key", (F.col("place") - F.col("left")).alias("begin"), (F.col("place") + F.col("right")).alias("end"), F.least("key", "first_other").alias("first_key")
     )
     gathered = pieces.groupBy("key").agg(F.collect_set(F.struct("begin", "end", "first_key")).alias("p"))  # bounded by the length of one text
