@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lexloom.session import cut
 
-SALTS = 64
+RANKED = 200_000  # items of one size are ranked in windows of about so many
+MOST_SALTS = 1024
 
 
 def pack_histogram(sizes: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -109,22 +110,26 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """(container, key, part, first_token, size) for every item. ``sized`` has each record's size."""
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    salted = cut(items(sized, key, size, capacity).withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(SALTS)).cast("int")))
+    parts = cut(items(sized, key, size, capacity))
+    # The commonest size settles how many windows each size is ranked in, so a window does not grow with the input.
+    commonest = parts.groupBy("size").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = min(MOST_SALTS, max(16, -(-commonest // RANKED)))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int"))
     counted = salted.groupBy("size", "salt").agg(F.count("*").alias("n"))
-    # At most (capacity + 1) x SALTS rows, whatever the input.
+    # At most (capacity + 1) x salts rows, whatever the input.
     lots = counted.collect()
     histogram: Counter[int] = Counter()
-    offsets: dict[tuple[int, int], int] = {}
+    offsets = np.zeros((capacity + 1, salts), np.int64)
     for row in sorted(lots, key=lambda r: (r["size"], r.salt)):
         offsets[row["size"], row.salt] = histogram[row["size"]]
         histogram[row["size"]] += row.n
     places = Places(pack_histogram(dict(histogram), capacity))
 
     @F.pandas_udf("bigint")
-    def container(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sizes, salts, ranks in parts:
-            base = np.array([offsets[s, t] for s, t in zip(sizes, salts)], dtype=np.int64)
-            yield pd.Series(places.of(sizes.to_numpy(), base + ranks.to_numpy() - 1))
+    def container(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sizes, salts, ranks in batches:
+            size = sizes.to_numpy()
+            yield pd.Series(places.of(size, offsets[size, salts.to_numpy()] + ranks.to_numpy() - 1))
 
     w = Window.partitionBy("size", "salt").orderBy(key, "part")
     ranked = salted.withColumn("rank", F.row_number().over(w))
