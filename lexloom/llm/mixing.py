@@ -2,7 +2,8 @@
 
 A source with target size T and available size A gives floor(T / A) certain whole copies of every
 record (at most ``max_repeats``) and, for the rest R of its target, a sample: each record has an
-inclusion probability p in proportion to a power of its size, scaled so that R is expected, and the
+inclusion probability p in proportion to a power of its size, scaled so that R is expected (records
+that would go beyond 1 are certain, and the rest is scaled up for what they leave), and the
 order number (u / (1 - u)) / (p / (1 - p)) with a uniform u drawn from a hash of its key; the
 records of the least order numbers are taken until R is reached as nearly as whole records allow.
 
@@ -27,14 +28,22 @@ BINS = 4096
 def plan(sized: DataFrame, source: str, size: str, targets: DataFrame, total_share: float, power: float) -> DataFrame:
     """One row per target source: target size, certain copies, size to sample and its scale."""
     total = sized.agg(F.coalesce(F.sum(size), F.lit(0)).alias("corpus_tokens"))
-    have = sized.groupBy(source).agg(F.count("*").alias("records"), F.sum(size).alias("available_tokens"), F.sum(F.pow(F.col(size).cast("double"), 1 + power)).alias("__weight"))
+    have = sized.groupBy(source).agg(F.count("*").alias("records"), F.sum(size).alias("available_tokens"))
     wanted = targets.select(F.col("source").alias("__s"), F.col("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).where("__s is not null").distinct()
     rows = wanted.join(have, F.col("__s") == F.col(source), "left").drop(source).withColumnRenamed("__s", "source").crossJoin(F.broadcast(total))  # one row
     rows = rows.fillna(0, ["records", "available_tokens"]).withColumn("target_tokens", F.col("corpus_tokens") * F.lit(total_share) * F.col("target_share"))
     ratio = F.when(F.col("available_tokens") > 0, F.col("target_tokens") / F.col("available_tokens")).otherwise(F.lit(0.0))
     rows = rows.withColumn("certain_copies", F.least(F.floor(ratio), F.col("max_repeats")).cast("int"))
     rest = F.when(F.col("certain_copies") < F.col("max_repeats"), F.col("target_tokens") - F.col("certain_copies") * F.col("available_tokens")).otherwise(F.lit(0.0))
-    return rows.withColumn("rest_tokens", rest).withColumn("scale", F.when(F.col("__weight") > 0, F.col("rest_tokens") / F.col("__weight")).otherwise(F.lit(0.0))).drop("__weight")
+    rows = cut(rows.withColumn("rest_tokens", rest))
+    # The scale over the histogram of sizes: with all larger sizes certain, the first at which this size is not.
+    lots = sized.where(F.col(size) > 0).groupBy(F.col(source).alias("source"), F.col(size).cast("double").alias("n")).agg(F.count("*").alias("k"))
+    larger = Window.partitionBy("source").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # one row per size
+    onwards = Window.partitionBy("source").orderBy(F.desc("n")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    lots = lots.join(rows.select("source", "rest_tokens"), "source").withColumns({"certain": F.coalesce(F.sum(F.col("n") * F.col("k")).over(larger), F.lit(0.0)), "weight": F.sum(F.col("k") * F.pow("n", F.lit(1 + power))).over(onwards)})
+    lots = lots.withColumn("scale", F.greatest(F.lit(0.0), F.col("rest_tokens") - F.col("certain")) / F.col("weight")).where(F.col("scale") * F.pow("n", F.lit(power)) <= 1)
+    scales = lots.groupBy("source").agg(F.max_by("scale", "n").alias("scale"))
+    return rows.join(scales, "source", "left").withColumn("scale", F.when(F.col("rest_tokens") > 0, F.coalesce("scale", F.lit(1.0))).otherwise(F.lit(0.0)))
 
 
 def mix(sized: DataFrame, key: str, source: str, size: str, targets: DataFrame, total_share: float, seed: int = 11, power: float = 0.5) -> tuple[DataFrame, DataFrame]:
