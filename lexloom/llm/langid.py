@@ -278,7 +278,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
         for b, e in units(shown):
             found = _WORD.findall(folded(shown[b:e]))
             if len(found) >= 4:
-                sentences.append([w[:60] for w in found])
+                sentences.append(pieces(found))
                 targets.append(LANGS.index(lab))
     if not sentences:
         return Model(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS)), 1.0, 1.0, 0.0)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm import canon, chunks, langid, markup, mixing, neardup, packing, pages, spans, tokens
+from lexloom.llm import canon, chunks, langid, markup, mixing, neardup, oracles, packing, pages, spans, tokens, units
 from lexloom.session import cut, table
 
 
@@ -167,9 +167,49 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "span", "begin", "end", F.col("first_key").alias("first_doc_id"), "kept", passage).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p4_page_difference, p5_found, p5_pieces, p7_packed, p7_report, p8_mix, p8_shares, p6_found, p6_segments, p6_languages, p9_found, p9_shared, p9_passages)}
-ORACLES: dict[str, str] = {
-    "p5_found": """
-SELECT DISTINCT id FROM ley_completa
-WHERE length(texto) > (SELECT param_value FROM job_params WHERE param_name = 'split_max_chars')""",
-}
+def p9_units(spark: SparkSession, d: str) -> DataFrame:
+    """The method named: every line that recurs, with its place, its earliest occurrence and whether it is that one."""
+    found = units.shared_units(table(spark, d, "documents"), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), "begin", "end", F.col("first_key").alias("first_doc_id"), F.col("first_begin"), "kept")
+
+
+def p9_removed(spark: SparkSession, d: str) -> DataFrame:
+    """The method named: every document without the lines that are kept elsewhere, and the ranges of the original that are left."""
+    done = units.without_repeats(table(spark, d, "documents"), "doc_id", "text")
+    ranges = F.array_join(F.transform("kept", lambda k: F.concat(k["begin"].cast("string"), F.lit("-"), k["end"].cast("string"))), ",")
+    return done.select(F.col("key").alias("doc_id"), "own_text", "removed_chars", ranges.alias("kept"))
+
+
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Check of ``p5_pieces``: what the pieces of each law give without their overlaps, and whether all are within the limit."""
+    most = int(param(spark, d, "split_max_chars"))
+    pieces = _pieces(spark, d, False)
+    before = Window.partitionBy("key", "version").orderBy("piece")
+    pieces = pieces.withColumn("version", F.lit(0)).withColumn("after", F.coalesce(F.lag("end").over(before), F.lit(0)))
+    own = F.expr("substr(content, after - begin + 1)")
+    whole = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece", own.alias("own")))).alias("p"), F.max(F.length("content")).alias("longest"))  # the pieces of one text
+    return whole.select(F.col("key").alias("id"), F.md5(F.array_join("p.own", "")).alias("digest"), (F.col("longest") <= most).alias("fits"))
+
+
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Check of ``p7_packed``: every document once and whole, no container over its capacity."""
+    most = int(param(spark, d, "pack_capacity_tokens"))
+    packed = cut(p7_packed(spark, d))
+    over = packed.groupBy("container").agg(F.sum("size").alias("n")).where(F.col("n") > most).select("container")
+    parts = packed.join(over.withColumn("over", F.lit(True)), "container", "left")
+    facts = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("part").alias("last"), F.sum("size").alias("size"), F.max("size").alias("longest"), F.max(F.col("first_token") + F.col("size")).alias("end"), F.max("over").alias("over"))
+    return facts.select("doc_id", ((F.col("n") == F.col("last") + 1) & (F.col("size") == F.col("end")) & (F.col("longest") <= most) & F.col("over").isNull()).alias("whole"))
+
+
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Check of ``p8_mix``: each source's chosen documents are its own, once each and within its repeats; a share below its target is one that the repeats bound."""
+    chosen, shares = _mix(spark, d)
+    own = chosen.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("k"), F.max("copies").alias("most"))
+    met = shares.join(own, "source", "left")
+    near = F.abs(F.col("reached_tokens") - F.col("target_tokens")) <= 0.02 * F.col("target_tokens") + 1024
+    bound = F.col("reached_tokens") == F.col("max_repeats") * F.col("available_tokens")
+    return met.select("source", (F.coalesce("n", F.lit(0)) == F.coalesce("k", F.lit(0))).alias("once"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within"), (near | bound).alias("filled"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_clean, p4_page_difference, p5_found, p5_pieces, p7_packed, p7_report, p8_mix, p8_shares, p6_found, p6_segments, p6_languages, p9_found, p9_shared, p9_passages, p9_units, p9_removed, p5_whole, p7_whole, p8_whole)}
+ORACLES: dict[str, str] = oracles.ORACLES
