@@ -105,7 +105,7 @@ def check_mapping(mapping: dict[str, str]) -> None:
             if same != c and same not in mapping:
                 continue  # a width, style or joined form of what it becomes
             other = taken.setdefault((script, target), same)
-            if other != same and mapping.get(other, other) != mapping.get(same, same):
+            if other != same:
                 raise ValueError(f"{c} and {other} both become {target}")
 
 

@@ -34,6 +34,18 @@ def test_conflicts_are_refused():
         canon.check_conflicts({"а": "A"}, "x")
 
 
+def test_the_finished_mapping_is_checked():
+    for bad in ({"a": "b"}, {"а": "ｂ", "ｂ": "b"}, {"а": "x", "б": "x"}):
+        with pytest.raises(ValueError):
+            canon.check_mapping(bad)
+    canon.check_mapping(canon.transducer().single)
+
+
+def test_styles_and_further_scripts():
+    assert canon.canonical("𝐀𝒓𝗍. 𝟙 ℎ") == "Art. 1 h" and canon.canonical("օ Ꭺ") == "o A"
+    assert canon.canonical("𝐀\u0301𝐀\u0301") == "ÁÁ" and canon.canonical("a\u0323\u0302") == canon.canonical("ậ") == canon.canonical("â\u0323")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aбЕеé\u0301\u0308\u200b\u00a0ﬁＡ１Ⅳ\u212b-\u2011\n \u0306ий"), max_size=20))
 def test_one_pass_is_enough(text):

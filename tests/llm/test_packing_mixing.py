@@ -77,6 +77,17 @@ def test_inclusion_follows_size(spark):
     assert 1.8 < got[400] / got[100] < 2.2  # with the power 0.5: in proportion to the root of the size
 
 
+def test_odds_are_scaled_for_what_certain_records_leave(spark):
+    # Two records of 40,000 would go beyond 1: they are certain, and the small ones fill the rest.
+    df = spark.createDataFrame([(k, "s", 40_000 if k < 2 else 100) for k in range(2000)], "id bigint, source string, n bigint")
+    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    total = 2 * 40_000 + 1998 * 100
+    planned = mixing.plan(df, "source", "n", targets, 0.5, 1.0).first()
+    assert abs(planned.scale * 100 * 1998 * 100 - (total / 2 - 80_000)) < 1 and planned.scale * 40_000 > 1
+    got = mixing.mix(df, "id", "source", "n", targets, 0.5, power=1.0)[0].collect()
+    assert {0, 1} <= {r.id for r in got} and abs(sum(r["size"] for r in got) - total / 2) <= 100
+
+
 def test_token_counts(spark):
     texts = ["", "Ley de aguas 12/2001.", None, "ñ" * 5000]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tokens.token_count(F.col("t"))).collect()]

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import rolling, spans
@@ -70,13 +71,40 @@ def test_hot_passage(spark):
     assert spans.found_pairs(df, "id", "t", 200).count() == 100 * 99 // 2
 
 
-def test_stock_phrase_in_many_surroundings(spark):
+def shared_by_brute_force(rows, n):
+    """Per record: how many points are in spans of n that other records hold, and how many of those an earlier one holds."""
+    first = {}
+    for k, t in rows:
+        for i in range(len(t) - n + 1):
+            lo, hi = first.get(t[i : i + n], (k, k))
+            first[t[i : i + n]] = (min(lo, k), max(hi, k))
+    out = {}
+    for k, t in rows:
+        least = {}
+        for i in range(len(t) - n + 1):
+            lo, hi = first[t[i : i + n]]
+            if lo != hi:
+                least |= {p: min(lo, least.get(p, lo)) for p in range(i, i + n)}
+        out[k] = (len(least), sum(f != k for f in least.values()))
+    return out
+
+
+@pytest.mark.parametrize("n", [spans.CLASSES - 1, spans.CLASSES, spans.CLASSES + 1])
+def test_stock_phrase_in_few_and_in_many_surroundings(spark, n):
     rng = random.Random(11)
     text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     phrase, longer = text(150), text(60)
-    rows = [(k, text(120) + phrase + text(120)) for k in range(90)] + [(100 + k, text(40) + longer + phrase + text(40)) for k in range(20)]
+    rows = [(k, text(120) + phrase + text(120)) for k in range(n - 20)] + [(100 + k, text(40) + longer + phrase + text(40)) for k in range(20)]
     df = spark.createDataFrame(rows, "id bigint, t string")
     assert {tuple(r) for r in spans.found_pairs(df, "id", "t", 200).collect()} == brute(rows, 200)
+    assert {r.key: (r.shared_chars, r.removed_chars) for r in spans.shared_part(df, "id", "t", 200).collect()} == shared_by_brute_force(rows, 200)
+
+
+def test_every_place_of_a_repeated_passage_counts(spark):
+    p = "".join(random.Random(5).choice("abcdefghij ") for _ in range(250))
+    rows = [(1, "x" + p + "yy" + p + "z"), (2, p), (3, "a" * 500), (4, "b" + "a" * 300)]
+    got = {r.key: (r.shared_chars, r.removed_chars) for r in spans.shared_part(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", 200).collect()}
+    assert got == {1: (500, 0), 2: (250, 250), 3: (500, 0), 4: (300, 300)} == shared_by_brute_force(rows, 200)
 
 
 def test_first_occurrences_next_to_copies_are_kept(spark):
