@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import canon, chunks, langid, markup, mixing, neardup, oracles, packing, pages, spans, tokens, units
-from lexloom.session import cut, table
+from lexloom.session import cut, spread, table
+
+
+def spread_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores if it is one file."""
+    return spread(table(spark, d, name))
 
 
 def param(spark: SparkSession, d: str, name: str) -> float:
@@ -18,38 +23,38 @@ def param(spark: SparkSession, d: str, name: str) -> float:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    titles = canon.look_alikes(table(spark, d, "documento_resumen"), "id", "titulo")
-    texts = canon.look_alikes(table(spark, d, "ley_completa"), "id", "texto")
+    titles = canon.look_alikes(spread_table(spark, d, "documento_resumen"), "id", "titulo")
+    texts = canon.look_alikes(spread_table(spark, d, "ley_completa"), "id", "texto")
     return titles.select(F.lit("titulo").alias("campo"), "id_a", "id_b").union(texts.select(F.lit("texto").alias("campo"), "id_a", "id_b"))
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     """Per title and per text of a law: its one form and whether the stored one differs."""
-    titles = table(spark, d, "documento_resumen").select(F.lit("titulo").alias("campo"), "id", F.col("titulo").alias("valor"))
-    texts = table(spark, d, "ley_completa").select(F.lit("texto").alias("campo"), "id", F.col("texto").alias("valor"))
+    titles = spread_table(spark, d, "documento_resumen").select(F.lit("titulo").alias("campo"), "id", F.col("titulo").alias("valor"))
+    texts = spread_table(spark, d, "ley_completa").select(F.lit("texto").alias("campo"), "id", F.col("texto").alias("valor"))
     rows = canon.with_form(titles.union(texts).distinct(), "valor")
     return rows.select("campo", "id", "valor", "forma", (~F.col("valor").eqNullSafe(F.col("forma"))).alias("changed"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = param(spark, d, "near_dup_threshold")
-    titles = neardup.found_pairs(table(spark, d, "index_entries"), "id", "titulo", "chars", t)
-    texts = neardup.found_pairs(table(spark, d, "ley_completa"), "id", "texto", "words", t)
+    titles = neardup.found_pairs(spread_table(spark, d, "index_entries"), "id", "titulo", "chars", t)
+    texts = neardup.found_pairs(spread_table(spark, d, "ley_completa"), "id", "texto", "words", t)
     return titles.select(F.lit("titulo").alias("campo"), "id_a", "id_b").union(texts.select(F.lit("texto").alias("campo"), "id_a", "id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per title of an entry and per law: its group (numbered within ``campo``), its links to other forms and the copies of its own form."""
     t = param(spark, d, "near_dup_threshold")
-    titles = neardup.groups(table(spark, d, "index_entries"), "id", "titulo", "chars", t)
-    texts = neardup.groups(table(spark, d, "ley_completa"), "id", "texto", "words", t)
+    titles = neardup.groups(spread_table(spark, d, "index_entries"), "id", "titulo", "chars", t)
+    texts = neardup.groups(spread_table(spark, d, "ley_completa"), "id", "texto", "words", t)
     return titles.select(F.lit("titulo").alias("campo"), "*").union(texts.select(F.lit("texto").alias("campo"), "*"))
 
 
 def _marked_up(spark: SparkSession, d: str) -> DataFrame:
     """(surface, item, texto): the texts of laws and articles as stored."""
-    laws = table(spark, d, "ley_completa").select(F.lit("ley_completa").alias("surface"), F.col("id").alias("item"), "texto")
-    articles = table(spark, d, "articulo_resultado").select(F.lit("articulo_resultado").alias("surface"), F.concat("id", F.lit("#"), "articulo_buscado").alias("item"), "texto")
+    laws = spread_table(spark, d, "ley_completa").select(F.lit("ley_completa").alias("surface"), F.col("id").alias("item"), "texto")
+    articles = spread_table(spark, d, "articulo_resultado").select(F.lit("articulo_resultado").alias("surface"), F.concat("id", F.lit("#"), "articulo_buscado").alias("item"), "texto")
     return laws.union(articles)
 
 
@@ -64,12 +69,12 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_page_difference(spark: SparkSession, d: str) -> DataFrame:
     """The method named: what is left of each law without the lines it shares with the page of the nearest URL."""
-    return pages.page_differences(table(spark, d, "ley_completa"), "id", "fuente", "texto").withColumnRenamed("key", "id")
+    return pages.page_differences(spread_table(spark, d, "ley_completa"), "id", "fuente", "texto").withColumnRenamed("key", "id")
 
 
 def _pieces(spark: SparkSession, d: str, long_only: bool) -> DataFrame:
     most, again = int(param(spark, d, "split_max_chars")), int(param(spark, d, "split_overlap_chars"))
-    return chunks.split_texts(table(spark, d, "ley_completa"), "id", "texto", most, again, long_only)
+    return chunks.split_texts(spread_table(spark, d, "ley_completa"), "id", "texto", most, again, long_only)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +88,7 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of all documents in tokens, counted once."""
-    return cut(table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens")))
+    return cut(spread_table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens")))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +115,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _segmented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, langid.Model]:
-    documents, laws = table(spark, d, "documents"), table(spark, d, "ley_completa")
+    documents, laws = spread_table(spark, d, "documents"), spread_table(spark, d, "ley_completa")
     return documents, laws, langid.fit(documents, "text", "lang")
 
 
@@ -150,18 +155,18 @@ def p6_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spans.found_pairs(table(spark, d, "documents"), "doc_id", "text", int(param(spark, d, "span_min_chars")))
+    pairs = spans.found_pairs(spread_table(spark, d, "documents"), "doc_id", "text", int(param(spark, d, "span_min_chars")))
     return pairs.select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     """Per document: how much of it is found elsewhere, and how much would go with the first occurrence kept."""
-    return spans.shared_part(table(spark, d, "documents"), "doc_id", "text", int(param(spark, d, "span_min_chars"))).withColumnRenamed("key", "doc_id")
+    return spans.shared_part(spread_table(spark, d, "documents"), "doc_id", "text", int(param(spark, d, "span_min_chars"))).withColumnRenamed("key", "doc_id")
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     """Every passage that other documents hold too, with its offsets, the first document that holds it and whether it is kept."""
-    documents = table(spark, d, "documents")
+    documents = spread_table(spark, d, "documents")
     found = spans.shared_spans(documents, "doc_id", "text", int(param(spark, d, "span_min_chars"))).withColumnRenamed("key", "doc_id")
     passage = F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("passage")
     return found.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "span", "begin", "end", F.col("first_key").alias("first_doc_id"), "kept", passage).distinct()
@@ -169,13 +174,13 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_units(spark: SparkSession, d: str) -> DataFrame:
     """The method named: every line that recurs, with its place, its earliest occurrence and whether it is that one."""
-    found = units.shared_units(table(spark, d, "documents"), "doc_id", "text")
+    found = units.shared_units(spread_table(spark, d, "documents"), "doc_id", "text")
     return found.select(F.col("key").alias("doc_id"), "begin", "end", F.col("first_key").alias("first_doc_id"), F.col("first_begin"), "kept")
 
 
 def p9_removed(spark: SparkSession, d: str) -> DataFrame:
     """The method named: every document without the lines that are kept elsewhere, and the ranges of the original that are left."""
-    done = units.without_repeats(table(spark, d, "documents"), "doc_id", "text")
+    done = units.without_repeats(spread_table(spark, d, "documents"), "doc_id", "text")
     ranges = F.array_join(F.transform("kept", lambda k: F.concat(k["begin"].cast("string"), F.lit("-"), k["end"].cast("string"))), ",")
     return done.select(F.col("key").alias("doc_id"), "own_text", "removed_chars", ranges.alias("kept"))
 
