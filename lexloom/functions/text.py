@@ -39,14 +39,22 @@ def strip_invisible(c: Column) -> Column:
     return F.translate(c, INVISIBLE, "")
 
 
+#: Signs that are their own NFKC form and compose with nothing before them: texts of these alone need no Python.
+INERT = (
+    "\x00-\x9f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+    "\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u200b-\u200f\u2010\u2012-\u2016\u2018-\u2022\u20ac\ufeff"
+)
+_NOT_INERT = "[^" + "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in INERT) + "]"
+
+
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else unicodedata.normalize("NFKC", v) for v in values], dtype=object)
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC form. ASCII is its own form: those rows reach Python as nulls."""
-    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+    """NFKC form. Texts of inert signs are their own form: those rows reach Python as nulls."""
+    return F.coalesce(_nfkc(F.when(c.rlike(_NOT_INERT), c)), c)
 
 
 def normalised(c: Column) -> Column:

@@ -11,7 +11,7 @@ from lexloom.functions import rules as R
 from lexloom.functions import scan, text
 from lexloom.operators import index as I
 from lexloom.plans import search as S
-from lexloom.session import table, work_folder
+from lexloom.session import spread, table, work_folder
 from lexloom.sources import store
 from lexloom.sources.corpus import path_allowed
 
@@ -204,10 +204,15 @@ def resolve_id_partial(spark, d):
     return S.resolve(entries(spark, d), "00000327")
 
 
-@query(resolve_sql("-LEY-", "es"))
+@query(f"SELECT pais_idx AS pais, count(*) FILTER (contains(upper(id), '-LEY-')) AS matches, (SELECT id FROM ({resolve_sql('-LEY-', 'es')})) AS id FROM {IDX} WHERE pais_idx = 'es' GROUP BY 1 UNION ALL SELECT 'cl', count(*), (SELECT id FROM ({resolve_sql('DEC-2001-00000327', 'cl')})) FROM {IDX} WHERE pais_idx = 'cl' AND contains(upper(id), 'DEC-2001-00000327')")
 def resolve_id_ambiguous(spark, d):
-    """Several laws of the one country searched: no row."""
-    return S.resolve(entries(spark, d), "-LEY-", "es")
+    """Several laws of the one country searched: no id; one law: its id."""
+
+    def asked(law: str, country: str) -> DataFrame:
+        matches = entries(spark, d).where((F.col("pais_idx") == country) & F.contains(F.upper("id"), F.lit(law))).agg(F.lit(country).alias("pais"), F.count("*").alias("matches"))
+        return matches.join(S.resolve(entries(spark, d), law, country).select("id"), F.lit(True), "left")
+
+    return asked("-LEY-", "es").union(asked("DEC-2001-00000327", "cl"))
 
 
 @query(f"SELECT {clean_sql('id', 200)} AS id FROM (SELECT id FROM {IDX} WHERE pais_idx = 'es' AND contains(upper(id), '-LEY-') ORDER BY corpus_ord, ord LIMIT 10)")
@@ -287,7 +292,7 @@ LINES = tuple(r.sample for r in R.RULES) + PLAIN
 
 def overlaid(spark: SparkSession, d: str, lines: tuple[str, ...] = LINES) -> DataFrame:
     picked = F.element_at(F.array(*[F.lit(x) for x in lines]), (F.col("doc_id") % len(lines) + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", "source", picked.alias("line"), F.concat(picked, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    return spread(table(spark, d, "documents")).select("doc_id", "source", picked.alias("line"), F.concat(picked, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t"))
 
 
 def overlaid_sql(lines: tuple[str, ...] = LINES) -> str:
@@ -520,18 +525,33 @@ def staleness_report(spark, d):
     return I.staleness(meta, R.fingerprint())
 
 
-@query(f"SELECT id, _ruta, TRUE AS allowed, FALSE AS above FROM {IDX} WHERE _ruta IS NOT NULL AND NOT regexp_matches(_ruta, '[\\x00-\\x1f\\x7f\\x{{85}}\\x{{2028}}\\x{{2029}}]')")
+_SIGNS = "'[\\x00-\\x1f\\x7f\\x{{85}}\\x{{2028}}\\x{{2029}}]'"
+_WAYS = {"same": "{}", "inside": "x/../{}", "above": "../../{}", "absolute": "/{}", "broken": "{}\n"}
+
+
+@query(f"SELECT id, _ruta, NOT regexp_matches(_ruta, {_SIGNS.format()}) AS same, NOT regexp_matches(_ruta, {_SIGNS.format()}) AS inside, FALSE AS above, FALSE AS absolute, FALSE AS broken FROM {IDX} WHERE _ruta IS NOT NULL")
 def path_guard(spark, d):
-    """Every stored path passes; the same path led out of the corpus does not."""
+    """Every stored path, as it is, by a detour inside, led out of the corpus, absolute, and with a line end."""
     rows = entries(spark, d).where("_ruta IS NOT NULL")
-    return rows.select("id", "_ruta", path_allowed(F.col("_ruta")).alias("allowed"), path_allowed(F.concat(F.lit("../../"), "_ruta")).alias("above")).where("allowed")
+    return rows.select("id", "_ruta", *[path_allowed(F.format_string(way.replace("{}", "%s"), "_ruta")).alias(name) for name, way in _WAYS.items()])
 
 
-@query(f"SELECT '{R.BODY}' AS surface, '{R.fingerprint(R.BODY)}' AS fingerprint UNION ALL SELECT '{R.METADATA}', '{R.fingerprint(R.METADATA)}'")
+# Fixed value: the published fingerprint of the ruleset for texts.
+PUBLISHED = "03446b5a64e4"
+
+
+@query(f"SELECT '{R.BODY}' AS surface, TRUE AS published, TRUE AS other_order, FALSE AS other_pattern")
 def ruleset_fingerprint(spark, d):
-    return spark.createDataFrame([(s, R.fingerprint(s)) for s in (R.BODY, R.METADATA)], "surface string, fingerprint string")
+    """The rules give the published fingerprint, in any order, and not with a pattern changed."""
+    changed = (R.Rule(**(R.RULES[0].__dict__ | {"pattern": "y"})), *R.RULES[1:])
+    now = [R.fingerprint(R.BODY, rules) == PUBLISHED for rules in (R.RULES, R.RULES[::-1], changed)]
+    return spark.createDataFrame([(R.BODY, *now)], "surface string, published boolean, other_order boolean, other_pattern boolean")
+
+
+_BROKEN = R.Rule("x.broken", R.WARN, ("sample",), r"zzz\d", "A sample the rule does not find.")
 
 
-@query(" UNION ALL ".join(f"SELECT {quoted(r.label)} AS label, {quoted(s)} AS surface, TRUE AS ok" for r in R.RULES for s in r.surfaces))
+@query(" UNION ALL ".join(f"SELECT {quoted(r.label)} AS label, {quoted(s)} AS surface, {str(r is not _BROKEN).upper()} AS ok" for r in (*R.RULES, _BROKEN) for s in r.surfaces))
 def self_test(spark, d):
-    return scan.self_test(spark)
+    """Every rule finds its own sample; one that does not is told."""
+    return scan.self_test(spark, (*R.RULES, _BROKEN))

@@ -86,6 +86,16 @@ def test_findings_equal_python(spark):
         assert got == [python_labels(v, surface) for v in VALUES]
 
 
+def test_inert_signs_are_their_own_normal_form(spark):
+    signs = [chr(k) for k in range(0x10000) if re.fullmatch(f"[{text.INERT}]", chr(k))]
+    assert len(signs) > 700 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in signs)
+    whole = "".join(signs)
+    assert unicodedata.normalize("NFKC", whole) == whole
+    values = ["ley", "Artículo 1º ñandú", "e\u0301", "ﬁn", "Ａ", "Закон й", "a\u00a0b", whole, "½", "…"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(text.nfkc(F.col("v"))).collect()
+    assert [r[0] for r in got] == [unicodedata.normalize("NFKC", v) for v in values]
+
+
 def test_ruleset(spark):
     assert R.fingerprint() == "03446b5a64e4" and R.problems() == []
     assert len(R.of_surface(R.BODY)) == 21 and len(R.of_surface(R.METADATA)) == 23
