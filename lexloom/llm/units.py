@@ -90,9 +90,6 @@ def without_repeats(df: DataFrame, key: str, text: str, unit: str = "line", leas
     original text that ``own_text`` is put together from. Null texts are left out.
     """
     gone = shared_units(df, key, text, unit, least).where("not kept").groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by the length of a text
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t"))
-    touched = rows.join(gone, "key")
-    plain = rows.join(gone, "key", "left_anti")
-    done = touched.mapInArrow(_cut_out, "key bigint, own_text string, removed_chars int, kept array<struct<begin:int,end:int>>")
-    whole = plain.select("key", F.col("t").alias("own_text"), F.lit(0).alias("removed_chars"), F.when(F.length("t") > 0, F.array(F.struct(F.lit(0).alias("begin"), F.length("t").alias("end")))).otherwise(F.array()).alias("kept"))
-    return done.union(whole).dropDuplicates(["key"])
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).dropDuplicates(["key"])
+    # Both sides lie by key: the texts are shuffled once.
+    return rows.join(gone, "key", "left").select("key", "t", "spans").mapInArrow(_cut_out, "key bigint, own_text string, removed_chars int, kept array<struct<begin:int,end:int>>")
