@@ -452,7 +452,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def groups(df: DataFrame, key: str, text: str, kind: str, threshold: float) -> DataFrame:
-    """One row per id: group (least form number of its part), links to other forms, copies of its own form."""
+    """One row per id: group (the least id in it), links to other forms, copies of its own form."""
     rows = texts_of(df, key, text)
     sets, rarity, tokens = first_pass(rows, kind)
     members = sets.select("id", "doc").distinct()
@@ -461,5 +461,7 @@ def groups(df: DataFrame, key: str, text: str, kind: str, threshold: float) -> D
     degree = ends.groupBy("doc").agg(F.count("*").alias("links"))
     parts = components(found, "doc_a", "doc_b").withColumnRenamed("node", "doc")
     copies = members.groupBy("doc").agg((F.count("*") - 1).alias("copies"), F.min("id").alias("first_id"))
-    facts = copies.join(degree, "doc", "left").join(parts, "doc", "left").select("doc", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "doc").alias("grupo"))
+    heads = parts.join(copies, "doc").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    parts = parts.join(heads, "root").select("doc", "least_id")
+    facts = copies.join(degree, "doc", "left").join(parts, "doc", "left").select("doc", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least_id", "first_id").alias("grupo"))
     return members.join(facts, "doc").select("id", "grupo", "links", "copies")

@@ -46,11 +46,26 @@ def _similar_sql(name: str, source: str, runs: str) -> str:
 
 
 _WORDS = "regexp_extract_all(forma, '[\\p{L}\\p{N}_\\p{Mn}\\p{Mc}]+')"
-_NEAR = f"""
-WITH {_similar_sql('t', "SELECT id, titulo AS v FROM index_entries", "list_transform(range(1, length(forma) - 2), lambda i: substr(forma, i, 4))")},
-{_similar_sql('w', "SELECT id, texto AS v FROM ley_completa", f"list_transform(range(1, len({_WORDS}) - 3), lambda i: array_to_string({_WORDS}[i:i + 4], ' '))").replace(_WORDS, "words").replace("FROM (SELECT DISTINCT f, forma FROM w_forms)", f"FROM (SELECT DISTINCT f, {_WORDS} AS words FROM w_forms)")}
+_SIMILAR = f"""
+WITH RECURSIVE {_similar_sql('t', "SELECT id, titulo AS v FROM index_entries", "list_transform(range(1, length(forma) - 2), lambda i: substr(forma, i, 4))")},
+{_similar_sql('w', "SELECT id, texto AS v FROM ley_completa", f"list_transform(range(1, len({_WORDS}) - 3), lambda i: array_to_string({_WORDS}[i:i + 4], ' '))").replace(_WORDS, "words").replace("FROM (SELECT DISTINCT f, forma FROM w_forms)", f"FROM (SELECT DISTINCT f, {_WORDS} AS words FROM w_forms)")}"""
+_NEAR = f"""{_SIMILAR}
 SELECT DISTINCT 'titulo' AS campo, least(x, y) AS id_a, greatest(x, y) AS id_b FROM t_found UNION SELECT DISTINCT 'texto', least(x, y), greatest(x, y) FROM w_found"""
 
+
+
+def _groups_sql(name: str) -> str:
+    return f""",
+{name}_reach AS (SELECT DISTINCT f, f AS r FROM {name}_forms UNION SELECT x.f, l.b FROM {name}_reach x JOIN (SELECT fa AS a, fb AS b FROM {name}_links UNION ALL SELECT fb, fa FROM {name}_links) l ON l.a = x.r),
+{name}_group AS (SELECT x.f, min(m.id) AS grupo FROM {name}_reach x JOIN {name}_forms m ON m.f = x.r GROUP BY x.f),
+{name}_degree AS (SELECT f, count(*) AS links FROM (SELECT fa AS f FROM {name}_links UNION ALL SELECT fb FROM {name}_links) GROUP BY f),
+{name}_copies AS (SELECT f, count(*) - 1 AS copies FROM {name}_forms GROUP BY f)"""
+
+
+def _grouped_sql(name: str, campo: str) -> str:
+    return f"SELECT '{campo}' AS campo, id, grupo, coalesce(links, 0) AS links, copies FROM {name}_forms JOIN {name}_group USING (f) JOIN {name}_copies USING (f) LEFT JOIN {name}_degree USING (f)"
+
+
 # Windows of the least length of a span, by their hash; one is shared if two documents hold it.
 _WINDOWS = """
 WITH t AS (SELECT DISTINCT doc_id, text, n FROM documents, (SELECT param_value::BIGINT AS n FROM job_params WHERE param_name = 'span_min_chars') WHERE text IS NOT NULL),
@@ -70,6 +85,7 @@ ORACLES: dict[str, str] = {
 WITH v AS ({_FORMS}), k AS (SELECT campo, forma FROM v WHERE valor IS NOT NULL GROUP BY ALL HAVING count(DISTINCT valor) > 1), r AS (SELECT v.* FROM v JOIN k USING (campo, forma))
 SELECT DISTINCT a.campo, a.id AS id_a, b.id AS id_b FROM r a JOIN r b ON a.campo = b.campo AND a.forma = b.forma AND a.id < b.id AND a.valor <> b.valor""",
     "p3_found": _NEAR,
+    "p3_groups": f"{_SIMILAR}{_groups_sql('t')}{_groups_sql('w')} {_grouped_sql('t', 'titulo')} UNION ALL {_grouped_sql('w', 'texto')}",
     "p5_found": f"SELECT DISTINCT id FROM ley_completa WHERE length(texto) > {_PARAM.format('split_max_chars')}",
     "p5_whole": "SELECT id, md5(texto) AS digest, TRUE AS fits FROM (SELECT DISTINCT id, texto FROM ley_completa WHERE texto IS NOT NULL)",
     "p7_whole": "SELECT doc_id, TRUE AS whole FROM documents WHERE text IS NOT NULL",
@@ -82,5 +98,12 @@ g AS (SELECT *, CASE WHEN lag(p) OVER (PARTITION BY doc_id ORDER BY p) = p - 1 T
 c AS (SELECT doc_id, sum(fresh)::INT AS spans, count(*) AS shared_chars, count(*) FILTER (first_doc <> doc_id) AS removed_chars FROM g GROUP BY 1)
 SELECT d.doc_id, length(text)::INT AS n_chars, coalesce(spans, 0) AS spans, coalesce(shared_chars, 0) AS shared_chars, coalesce(removed_chars, 0) AS removed_chars,
  CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0)::DOUBLE / length(text) ELSE 0.0::DOUBLE END AS share FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "p9_removed": _UNITS
+    + """,
+g AS (SELECT doc_id, begin FROM f WHERE k > 1 AND NOT (doc_id = first_doc_id AND begin = first_begin)),
+r AS (SELECT n.doc_id, n.begin, n."end", lead(n.begin) OVER p AS after, g.begin IS NOT NULL AS gone, sum(CASE WHEN g.begin IS NULL THEN 0 ELSE 1 END) OVER p AS island FROM n LEFT JOIN g USING (doc_id, begin) WINDOW p AS (PARTITION BY n.doc_id ORDER BY n.begin)),
+i AS (SELECT doc_id, island, min(begin) AS b, max(coalesce(after, "end")) AS e FROM r WHERE NOT gone GROUP BY 1, 2),
+k AS (SELECT i.doc_id, string_agg(substr(text, b + 1, e - b), '' ORDER BY b) AS own, string_agg(b || '-' || e, ',' ORDER BY b) AS kept FROM i JOIN documents USING (doc_id) WHERE b < e GROUP BY 1)
+SELECT d.doc_id, coalesce(own, '') AS own_text, (length(text) - length(coalesce(own, '')))::INT AS removed_chars, coalesce(kept, '') AS kept FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id WHERE text IS NOT NULL""",
     "p9_units": _UNITS + """ SELECT doc_id, begin, "end", first_doc_id, first_begin, doc_id = first_doc_id AND begin = first_begin AS kept FROM f WHERE k > 1""",
 }
