@@ -43,7 +43,7 @@ _published: dict[tuple[str, str], str] = {}
 def indexed(spark: SparkSession, d: str) -> DataFrame:
     """The index as published for searching: built once for a session and folder, read from then on."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _published:
+    if key not in _published or store.current(spark, _published[key]) is None:  # not yet, or the shared folder was emptied
         root = work_folder(spark, "index")
         store.publish(S.stored(table(spark, d, "index_entries")), root)
         _published[key] = root
